@@ -160,17 +160,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that cover no item."""
-    from pyspark.sql.pandas.functions import arrow_udf
-
     spark, out = docs.sparkSession, docs
     ship(spark)
     (flag,) = fresh(docs, "contaminated")
     for rows in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Items(rows, min_match))
-
-        @arrow_udf("boolean")
-        def hit(texts: pa.Array, shared=shared) -> pa.Array:
-            return pa.array([any(x[1] >= coverage for x in shared.value.find(t.as_py())) for t in texts], pa.bool_())
-
+        hit = _covers(spark.sparkContext.broadcast(Items(rows, min_match)), coverage)
         out = out.withColumn(flag, hit(F.col(text_col))).filter(~F.col(flag)).select(*docs.columns)
     return out
+
+
+def _covers(shared, coverage: float):
+    from pyspark.sql.pandas.functions import arrow_udf
+
+    @arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        return pa.array([any(x[1] >= coverage for x in shared.value.find(t.as_py())) for t in texts], pa.bool_())
+
+    return hit

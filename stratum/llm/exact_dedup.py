@@ -39,11 +39,20 @@ def _slot(digest: Column, seed: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest, F.lit(seed)), F.lit(bits))
 
 
+def slot_bitmaps(rows: DataFrame, key: str, seed: int, bits: int) -> DataFrame:
+    """Bitmaps (bucket, bitmap) of the slots that any row hits."""
+    return _bitmaps(rows.select(_slot(F.col(key), seed, bits).alias("slot")).distinct())
+
+
+def _bitmaps(slots: DataFrame) -> DataFrame:
+    return slots.groupBy((F.col("slot") / _BUCKET_BITS).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET_BITS).alias("bitmap"))
+
+
 def _repeated_slots(hashes: DataFrame, digest: str, seed: int, bits: int) -> DataFrame:
     """Bitmaps (bucket, bitmap) of the slots that more than one row hits; at most bits / 8 bytes in all."""
     slot = _slot(F.col(digest), seed, bits)
     twice = hashes.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return twice.groupBy((F.col("slot") / _BUCKET_BITS).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET_BITS).alias("bitmap"))
+    return _bitmaps(twice)
 
 
 def _hits(rows: DataFrame, bitmaps: DataFrame, digest: str, seed: int, bits: int) -> tuple[DataFrame, str]:

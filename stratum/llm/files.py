@@ -1,7 +1,7 @@
 """Binary files in the shared folder, written by executors.
 
-A file becomes visible by one rename under a name that depends on the data's place alone, so a retried or
-doubled task leaves the same files.
+A file becomes visible by one rename, under a name of its own task attempt. Readers take the files that a stored
+manifest names, that is those of the attempts that succeeded; what a lost attempt left is never read.
 """
 
 from __future__ import annotations
@@ -9,9 +9,23 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .common import local_path
 
 
+def attempt_name(place: int, nth: int, suffix: str) -> str:
+    """A file name that sorts by place and number and that no other attempt has."""
+    return f"part-{place:06d}-{nth:05d}-{uuid.uuid4().hex[:8]}.{suffix}"
+
+
+def listed_files(manifest: DataFrame, folder: str, content: bool) -> DataFrame:
+    """path (and content) of the files of `folder` that the manifest (file) names."""
+    files = manifest.sparkSession.read.format("binaryFile").load(folder).select("path", *["content"] * content)
+    return files.join(F.broadcast(manifest.select("file")), F.element_at(F.split("path", "/"), -1) == F.col("file"), "left_semi")  # a name per file of megabytes
+
+
 def write_file(folder: str, name: str, chunks) -> None:
     """Write the byte strings of `chunks` to `folder`/`name`."""
     own = f".{name}.{uuid.uuid4().hex}"

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import attach_groups, fresh, ship, stored
 from .components import connected_components
+from .exact_dedup import _hits, filter_bits, slot_bitmaps
 from .shingles import Signer, digest, shingle_set
 
 #: Coordinates of a signature, and those that a pair must share at a similarity of 0.85 or more
@@ -89,11 +90,8 @@ def _postings(reps: DataFrame, matches: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """rid, n, sig, set of the representatives in `wanted` (rid, k1, k2, sig): the only texts that shuffle."""
-    from .exact_dedup import _hits, filter_bits
-
     bits = filter_bits(wanted.count())
-    slots = wanted.select(F.pmod(F.xxhash64("k1", F.lit(1)), F.lit(bits)).alias("slot")).distinct()
-    bitmaps = stored(slots.groupBy((F.col("slot") / 32_768).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % 32_768).alias("bitmap")), "bloom")
+    bitmaps = stored(slot_bitmaps(wanted, "k1", 1, bits), "bloom")
     maybe, hit = _hits(_keyed(docs, id_col, text_col).drop("rid", "id"), bitmaps, "k1", 1, bits)
     texts = maybe.filter(hit).select("k1", "k2", "text").join(wanted, ["k1", "k2"])
 
@@ -239,16 +237,26 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     joined = stored(joined, "nodes")
     least = joined.groupBy("component").agg(F.min("o").alias("least"), F.count(F.lit(1)).alias("members"))
     best = stored(attach_groups(joined, stored(least, "least"), "component", "members", total).select("digest", "size", "least"), "best")
-    grouped = attach_groups(filled.select("id", "rid", "n", "digest"), best, "digest", "size", total)
-    out = grouped.select("id", "rid", "n", F.col("least.id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept"))
-    alone = signed.filter("n = 0").select("id", "rid", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    grouped = attach_groups(filled.select("id", "rid", "n", "k1", "k2", "digest"), best, "digest", "size", total)
+    best_row = ["id", "rid", "n", "k1", "k2"]
+    out = grouped.select(*best_row, F.col("least.id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept"))
+    alone = signed.filter("n = 0").select(*best_row, F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one row of each component, that with the smallest id; all its columns."""
-    i, copy = fresh(docs, "keep", "copy")
-    given = stored(docs, "documents") if docs.inputFiles() == [] else docs
-    dropped = _marks(given, id_col, text_col, size, percent).filter("not kept").groupBy(F.col("id").alias(i)).agg(F.count(F.lit(1)).alias(copy))
-    out = given.join(dropped, F.col(id_col).eqNullSafe(F.col(i)), "left")
-    return out.filter(F.col(copy).isNull()).select(*docs.columns)
+    """`docs` with one row of each component, that with the smallest id; all its columns. Rows that a filter
+    over the dropped ones rules out pass straight through; only the others shuffle."""
+    k1, k2 = fresh(docs, "k1", "k2")
+    marks = stored(_marks(docs, id_col, text_col, size, percent), "marks")
+    # A row equal to a kept one in id and text has its keys too: of such rows one stays.
+    gone = stored(marks.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.max(F.when(F.col("kept"), 1).otherwise(0)).alias("n_kept"), F.count(F.lit(1)).alias("n_rows")).filter("n_kept < n_rows and (n_kept = 0 or n_rows > 1)"), "gone")
+    bits = filter_bits(gone.count())
+    i, t = F.col(id_col).cast("long"), F.col(text_col)
+    keyed = docs.withColumn(k1, F.xxhash64(i, t)).withColumn(k2, F.xxhash64(t, i, F.lit(42)))
+    maybe, hit = _hits(keyed, stored(slot_bitmaps(gone, k1, 1, bits), "bloom"), k1, 1, bits)
+    touched = maybe.filter(hit).drop(hit)
+    untouched = maybe.filter(~F.col(hit)).select(*docs.columns)
+    spared = touched.join(gone.select(k1, k2), [k1, k2], "left_anti").select(*docs.columns)
+    one = touched.join(gone.filter("n_kept = 1").select(k1, k2), [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)
+    return untouched.unionByName(spared).unionByName(one)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, ship, stored
-from .files import write_file
+from .files import attempt_name, listed_files, write_file
 
 MAGIC = b"S8BIDS01"
 BLOCK = 4096
@@ -247,7 +247,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         doc_ids, counts, held, total = [], [], [], 0
 
         def flush():
-            name = f"part-{place:06d}-{nth:05d}.s8b"
+            name = attempt_name(place, nth, "s8b")
             write_file(folder, name, encode_file(doc_ids, counts, np.frombuffer(b"".join(held), "<u4")))
             return pa.RecordBatch.from_pydict({"file": [name], "docs": [len(doc_ids)], "ids": [total]}, schema=pa.schema([("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
@@ -288,7 +288,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                         {"doc_id": pa.array(doc_ids[a : a + 2000], pa.int64()), "ahead": starts[a : a + 2000], "n_tokens": counts[a : a + 2000].astype(np.int64), "ids_crc32": pa.array(map(zlib.crc32, cut), pa.int64()), "ids": pa.array(cut, pa.binary()), "file": list(repeat(name, len(cut)))}
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select("path", "content")
+    files = listed_files(manifest, folder, True)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))  # a row per file of millions of ids
     return files.mapInArrow(read, schema).join(offsets, "file").withColumn("start", F.col("before") + F.col("ahead")).select("doc_id", "start", "n_tokens", "ids_crc32", "ids")
