@@ -22,7 +22,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +38,14 @@ BLOCK = 4096
 #: Ids of a file at most (a document is not split over files), and rows of a range partition aimed at.
 FILE_IDS, PARTITION_ROWS = 2_000_000, 20_000
 #: Words a worker remembers the ids of.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 
 #: Fixed values of the format: (ids, bits of each) by selector from 2 on.
 LANES = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE, ZEROS, ZERO_RUN = 0, 1, 120
 _POWERS = np.array([1 << k for k in range(64)], np.uint64)
+_LENGTHS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)  # bits of small ids
+_COUNTS = np.array([1, ZERO_RUN, *(c for c, _ in LANES)], np.uint8)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +56,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint64)
     padded = np.zeros(blocks * BLOCK + ZERO_RUN, np.uint64)
     padded[:n] = ids
-    length = np.searchsorted(_POWERS, padded, side="right").astype(np.uint8) if int(padded.max()) >> 52 else np.frexp(padded.astype(np.float64))[1].astype(np.uint8)
+    most = int(padded.max())
+    length = _LENGTHS[padded] if most < len(_LENGTHS) else np.searchsorted(_POWERS, padded, side="right").astype(np.uint8)
     left = np.minimum(blocks * BLOCK, n) - np.arange(blocks * BLOCK)
     np.minimum(left, BLOCK - np.arange(blocks * BLOCK) % BLOCK, out=left)
     left = np.minimum(left, ZERO_RUN).astype(np.uint8)
     choice = np.full(blocks * BLOCK, ESCAPE, np.uint8)
-    size = np.ones(blocks * BLOCK, np.uint8)
     # The longest of the next `count` bit lengths, by windows that double; the lanes go from short to long and longer ones win.
     window, span = length, 1
     for s, (count, bits) in reversed([(ZEROS, (ZERO_RUN, 0)), *enumerate(LANES, 2)]):
@@ -70,7 +72,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             span *= 2
         most = np.maximum(window[: blocks * BLOCK], window[count - span : count - span + blocks * BLOCK]) if count > span else window[: blocks * BLOCK]
         fits = (most <= bits) & (left >= count)
-        choice[fits], size[fits] = s, count
+        np.putmask(choice, fits, s)
+    size = _COUNTS[choice]
     at = np.arange(blocks) * BLOCK
     end = np.minimum(at + BLOCK, n)
     steps, live = [], at < end
@@ -110,7 +113,7 @@ def unpack(words: np.ndarray) -> np.ndarray:
                 raw[k + 1] = True
     else:
         raw = np.zeros(len(words), bool)
-    counts = np.array([1, ZERO_RUN, *(c for c, _ in LANES)])[selector]
+    counts = _COUNTS[selector].astype(np.int64)
     counts[raw] = 0
     place = np.cumsum(counts) - counts
     out = np.zeros(int(counts.sum()), np.uint64)
@@ -219,7 +222,7 @@ class WordEncoder:
                 words[0] = _FIRST + words[0]
             split.append(words)
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))  # those met first tend to be frequent
         self._learn({w for w in set().union(*split) if w not in self.known})
         get = self.known.__getitem__
         out = [b"".join(map(get, s)) for s in split]
