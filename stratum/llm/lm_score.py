@@ -30,7 +30,7 @@ from .common import ship, stored
 from .shingles import _STEP, _hashed, _mixed, words
 
 #: Bounds of what is broadcast: words with exact counts (16 bytes each), words of the model, the filter.
-HEAD, VOCABULARY, FILTER_BYTES = 1 << 21, 1 << 16, 64 << 20
+HEAD, VOCABULARY, FILTER_BYTES = 1 << 18, 1 << 16, 64 << 20
 BITS_EACH, PROBES, BLOCK_BITS, MU, LEAST_PAIR = 14, 6, 1 << 15, 40.0, 2
 _END, _START = np.uint64(0x5EED0E0D), np.uint64(0x57A27)
 _COMBINED = 3_000_000  # counts a task holds before it passes them on
