@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Segmentations of a text, price of a byte over the rarest piece, parts a worker remembers.
-N_BEST, BYTE_PRICE, CACHE_PARTS = 3, 3.0, 400_000
+N_BEST, BYTE_PRICE, CACHE_PARTS = 3, 3.0, 600_000
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _SPACE = "▁"
 
@@ -113,26 +114,44 @@ class Lattice:
 
     def _best(self, s: str) -> tuple[bytes, float, float]:
         """(ids, score, loss of the second best segmentation) of a part."""
-        edges, size = self.flat_edges(s), len(s)
-        best, last, back = [0.0] + [-math.inf] * size, [None] * (size + 1), [-math.inf] * size + [0.0]
-        for edge in edges:  # edges into a node come before those out of it
-            if (total := best[edge[0]] + edge[2]) > best[edge[1]]:
-                best[edge[1]], last[edge[1]] = total, edge
-        second = -math.inf
-        for edge in reversed(edges):
-            a, b, score, _ = edge
-            total = score + back[b]
-            if total > back[a]:
-                back[a] = total
+        get, size, longest, none = self.reach.get, len(s), self.longest, -math.inf
+        best, last, back, edges = [0.0] + [none] * size, [None] * (size + 1), [none] * size + [0.0], []
+        for a in range(size):  # edges into a node come before those out of it
+            so_far = best[a]
+            got = get(s[a], 0)
+            if got:
+                edge = (a, a + 1, *got)
+            else:
+                raw = s[a].encode("utf-8", "replace")
+                edge = (a, a + 1, self.byte_score * len(raw), tuple([self.byte_ids[x] for x in raw]))
+            edges.append(edge)
+            if so_far + edge[2] > best[a + 1]:
+                best[a + 1], last[a + 1] = so_far + edge[2], edge
+            if got == 0:
+                continue
+            for b in range(a + 2, min(size, a + longest) + 1):
+                got = get(s[a:b], 0)
+                if got:
+                    edge = (a, b, *got)
+                    edges.append(edge)
+                    if so_far + got[0] > best[b]:
+                        best[b], last[b] = so_far + got[0], edge
+                elif got == 0:
+                    break
         ids, used, node = [], set(), size
         while node:
             edge = last[node]
-            used.add(edge[:2])
+            used.add(edge)
             ids[:0] = edge[3]
             node = edge[0]
-        for a, b, score, _ in edges:
-            if (total := best[a] + score + back[b]) > second and (a, b) not in used:
-                second = total
+        second = none
+        for edge in reversed(edges):  # the best path through each edge that the best one does not take
+            a, b, score, _ = edge
+            rest = score + back[b]
+            if rest > back[a]:
+                back[a] = rest
+            if best[a] + rest > second and edge not in used:
+                second = best[a] + rest
         return struct.pack(f"<{len(ids)}I", *ids), best[-1], best[-1] - second
 
     def parts(self, chunk: str) -> list[str]:
@@ -144,7 +163,7 @@ class Lattice:
         if (got := self.known.get(chunk)) is not None:
             return got
         if len(self.known) > CACHE_PARTS:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), CACHE_PARTS // 2))  # those met first tend to be frequent
         parts = self.parts(chunk)
         if len(parts) == 1:
             got = self._best(chunk)
