@@ -27,7 +27,7 @@ class Relation:
     fields: tuple[Field, ...]
 
     @classmethod
-    def of(cls, name: str, **widths: int) -> Relation:
+    def of(cls, name: str, /, **widths: int) -> Relation:
         return cls(name, tuple(Field(k, v) for k, v in widths.items()))
 
     @property
