@@ -184,7 +184,7 @@ class Lattice:
         if n == 1:
             return [(total, ids)]
         # Segmentations beside the best differ from it in the chunks with the n - 1 least losses only.
-        near = heapq.nsmallest(n - 1, range(len(got)), key=lambda k: (got[k][2], k))
+        near = [k for _, k in heapq.nsmallest(n - 1, zip([g[2] for g in got], range(len(got)), strict=True))]
         options = [(0.0, ())]  # loss, what replaces which chunk
         for k in near:
             if math.isinf(got[k][2]):
@@ -192,13 +192,15 @@ class Lattice:
             own = self.chunk_n_best(chunks[k], n)
             grown = [(loss + own[0][0] - score, (*change, (k, other)) if rank else change) for loss, change in options for rank, (score, other) in enumerate(own)]
             options = heapq.nsmallest(n, grown, key=lambda x: x[0])
-        out = []
+        out, best = [], [g[0] for g in got]
         for loss, change in options:
             if not change:
                 out.append((total, ids))
                 continue
-            swap = dict(change)
-            out.append((total - loss, b"".join(swap.get(k, g[0]) for k, g in enumerate(got))))
+            swapped = best.copy()
+            for k, other in change:
+                swapped[k] = other
+            out.append((total - loss, b"".join(swapped)))
         return out
 
     def chunk_n_best(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
