@@ -18,7 +18,6 @@ by side; an empty table gives no files and an empty result; other columns are ig
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from functools import lru_cache
@@ -26,6 +25,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +37,8 @@ MAGIC = b"S8BIDS01"
 BLOCK = 4096
 #: Ids of a file at most (a document is not split over files), and rows of a range partition aimed at.
 FILE_IDS, PARTITION_ROWS = 2_000_000, 20_000
+#: Texts that are encoded together: rows and bytes at most.
+SLICE_ROWS, SLICE_BYTES = 1_500, 5 << 20
 #: Words a worker remembers the ids of.
 CACHE_WORDS = 800_000
 
@@ -129,7 +131,7 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_file(doc_ids: list, counts: list[int], ids: np.ndarray) -> list[bytes]:
+def encode_file(doc_ids: list, counts: list[int] | np.ndarray, ids: np.ndarray) -> list[bytes]:
     words, offsets = pack(ids.astype(np.uint64))
     valid = np.array([x is not None for x in doc_ids], np.uint8)
     return [
@@ -162,8 +164,10 @@ def decode_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 # With this library's byte-level pattern a space between texts always starts a token, a newline between texts is
 # one, and so does punctuation after a letter or digit; so words can be encoded alone. Texts with other white
 # space take the whole-text path.
-_TAIL = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-^`{-~]+)", re.S)
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 _FIRST = "\0"  # marks a word with no space before it
+#: Texts that cannot be cut at spaces and newlines: with white space at an end or side by side, other white space, or _FIRST.
+_ODD = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\t\x0B-\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 class WordEncoder:
@@ -198,37 +202,67 @@ class WordEncoder:
                 lo = hi + 4
         return out
 
-    def _learn(self, keys: set[str]) -> None:
-        """Keys: a word stands for itself after a space; after _FIRST or a newline, for itself without one."""
-        tails = {k: m for k in keys if (m := _TAIL.fullmatch(k))}
-        bases = {m[1] for m in tails.values()} | {_FIRST + m[2] for m in tails.values()} | (keys - tails.keys())
-        bases = [k for k in bases if k not in self.known]
-        spaced, bare = [k for k in bases if k[0] not in "\0\n"], [k for k in bases if k[0] in "\0\n"]
+    def _learn(self, words: list[str]) -> None:
+        """A word stands for itself after a space; after _FIRST or a newline, for itself without one. Marks that
+        end a word after a letter or digit are tokens of their own, so such a word has its parts' ids."""
+        tails, bases = [], set()
+        for k in words:
+            base = k.rstrip(_MARKS)
+            if base and base != k and base[-1].isalnum():
+                tail = _FIRST + k[len(base) :]
+                tails.append((k, base, tail))
+                bases.add(tail)
+                bases.add(base)
+            else:
+                bases.add(k)
+        spaced, bare = [], []
+        for k in bases:
+            if k not in self.known:
+                (bare if k[0] in "\0\n" else spaced).append(k)
         self.known.update(zip(spaced, self._words([" " + k for k in spaced]), strict=True))
         newline = np.array([self.newline], "<u4").tobytes()
         for k, ids in zip(bare, self._words([k[1:] for k in bare]), strict=True):
             self.known[k] = newline + ids if k[0] == "\n" else ids
-        for k, m in tails.items():
-            self.known[k] = self.known[m[1]] + self.known[_FIRST + m[2]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text the ids as little-endian uint32."""
-        split, odd = [], {}
-        for k, text in enumerate(texts):
-            words = text.replace("\n", " \n").split(" ") if text else []
-            if text and ("" in words or "\n" in words or len(text.split()) != len(words) or _FIRST in text):
-                odd[k], words = text, []
-            if words:
-                words[0] = _FIRST + words[0]
-            split.append(words)
+        for k, base, tail in tails:
+            self.known[k] = self.known[base] + self.known[tail]
+
+    def _batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count of each text) of texts that split into words. Arrow splits them and numbers their words, so
+        only a batch's distinct words are looked up."""
+        marked = pc.binary_join_element_wise(pa.scalar(_FIRST, texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type))
+        split = pc.split_pattern(marked, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_WORDS:
             self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))  # those met first tend to be frequent
-        self._learn({w for w in set().union(*split) if w not in self.known})
-        get = self.known.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for k, ids in zip(odd, self._whole(list(odd.values())), strict=True):
-            out[k] = ids
-        return out
+        ids_of = list(map(self.known.get, words))
+        new = [k for k, ids in enumerate(ids_of) if ids is None]
+        self._learn([words[k] for k in new])
+        for k in new:
+            ids_of[k] = self.known[words[k]]
+        taken = pa.array(ids_of, pa.large_binary()).take(coded.indices)
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(taken) + 1) // 4
+        before = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return np.frombuffer(data, "<u4", int(ends[-1])), np.diff(before)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as little-endian uint32, count of each text)."""
+        texts = texts.cast(pa.large_string())
+        odd = pc.or_(pc.equal(pc.binary_length(texts), 0), pc.match_substring_regex(texts, _ODD)).to_numpy(zero_copy_only=False)
+        ids, counts = np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        if not odd.all():
+            ids, counts[~odd] = self._batch(texts.filter(pa.array(~odd)) if odd.any() else texts)
+        if odd.any():
+            own = [np.frombuffer(x, "<u4") for x in self._whole(texts.filter(pa.array(odd)).to_pylist())]
+            ends = np.cumsum(counts)
+            pieces, last = [], 0
+            for k, x in zip(np.flatnonzero(odd).tolist(), own, strict=True):
+                pieces += (ids[last : ends[k]], x)
+                last = ends[k]
+                counts[k] = len(x)
+            ids = np.concatenate([*pieces, ids[last:]])
+        return ids, counts
 
 
 @lru_cache(maxsize=4)
@@ -236,6 +270,16 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _slices(lengths: np.ndarray):
+    """(first, end) of runs of at most SLICE_ROWS texts and, but for a single one, SLICE_BYTES bytes."""
+    ends, a = np.cumsum(lengths, dtype=np.int64), 0
+    while a < len(lengths):
+        most = (ends[a - 1] if a else 0) + SLICE_BYTES
+        b = min(max(int(np.searchsorted(ends, most, side="right")), a + 1), a + SLICE_ROWS)
+        yield a, b
+        a = b
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text of `docs`, append `end_id` and write the files. Returns the stored manifest: a
     row per file (file, docs, ids)."""
@@ -243,7 +287,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     ship(spark)
     rows = docs.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
         encoder, place, nth = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -251,17 +294,24 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
         def flush():
             name = attempt_name(place, nth, "s8b")
-            write_file(folder, name, encode_file(doc_ids, counts, np.frombuffer(b"".join(held), "<u4")))
+            write_file(folder, name, encode_file(doc_ids, np.concatenate(counts), np.concatenate(held)))
             return pa.RecordBatch.from_pydict({"file": [name], "docs": [len(doc_ids)], "ids": [total]}, schema=pa.schema([("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                for i, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    doc_ids.append(i)
-                    held += (ids, end)
-                    counts.append(len(ids) // 4 + 1)
-                    total += counts[-1]
+            texts = pc.fill_null(batch.column(1), "")
+            for a, b in _slices(pc.binary_length(texts).to_numpy()):
+                ids, n = encoder.encode(texts[a:b])
+                ends = np.cumsum(n)
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(n) + 1)
+                names, first, begin = batch.column(0)[a:b].to_pylist(), 0, 0
+                while first < len(n):
+                    # up to the document that fills the file
+                    last = min(int(np.searchsorted(ends, begin + FILE_IDS - total)) + 1, len(n))
+                    doc_ids += names[first:last]
+                    counts.append(n[first:last] + 1)
+                    held.append(ids[begin : ends[last - 1]])
+                    total += int(ends[last - 1]) - begin
+                    first, begin = last, int(ends[last - 1])
                     if total >= FILE_IDS:
                         yield flush()
                         doc_ids, counts, held, total, nth = [], [], [], 0, nth + 1
@@ -273,10 +323,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     return stored(ranged.mapInArrow(write, "file string, docs long, ids long"), "manifest")
 
 
-def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Of each document, read from the files: doc_id, start, n_tokens, ids_crc32, ids (array<long>)."""
+def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Of each document, read from the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (little-endian
+    unsigned 32-bit integers)."""
     ship(spark)
-    schema = "doc_id long, ahead long, n_tokens long, ids_crc32 long, ids binary, file string"
+    schema = f"doc_id long, ahead long, n_tokens long, ids_crc32 long, {'ids binary, ' * with_ids}file string"
 
     def read(batches):
         for batch in batches:
@@ -286,15 +337,16 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                 ends = np.cumsum(counts, dtype=np.int64)
                 starts = ends - counts
                 for a in range(0, len(doc_ids), 2000):
-                    cut = [flat[s:e].tobytes() for s, e in zip(starts[a : a + 2000].tolist(), ends[a : a + 2000].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_pydict(
-                        {"doc_id": pa.array(doc_ids[a : a + 2000], pa.int64()), "ahead": starts[a : a + 2000], "n_tokens": counts[a : a + 2000].astype(np.int64), "ids_crc32": pa.array(map(zlib.crc32, cut), pa.int64()), "ids": pa.array(cut, pa.binary()), "file": list(repeat(name, len(cut)))}
-                    )
+                    cut = [flat[s:e] for s, e in zip(starts[a : a + 2000].tolist(), ends[a : a + 2000].tolist(), strict=True)]
+                    row = {"doc_id": pa.array(doc_ids[a : a + 2000], pa.int64()), "ahead": starts[a : a + 2000], "n_tokens": counts[a : a + 2000].astype(np.int64), "ids_crc32": pa.array(map(zlib.crc32, cut), pa.int64())}
+                    if with_ids:
+                        row["ids"] = pa.array([x.tobytes() for x in cut], pa.binary())
+                    yield pa.RecordBatch.from_pydict(row | {"file": list(repeat(name, len(cut)))})
 
     files = listed_files(manifest, folder, True)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))  # a row per file of millions of ids
-    return files.mapInArrow(read, schema).join(offsets, "file").withColumn("start", F.col("before") + F.col("ahead")).select("doc_id", "start", "n_tokens", "ids_crc32", "ids")
+    return files.mapInArrow(read, schema).join(offsets, "file").withColumn("start", F.col("before") + F.col("ahead")).select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,4 +355,4 @@ def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
     manifest = write_tokens(docs, tokenizer_path, folder, end_id, id_col, text_col)
     if manifest.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_tokens(docs.sparkSession, folder, manifest).drop("ids")
+    return read_tokens(docs.sparkSession, folder, manifest, with_ids=False)

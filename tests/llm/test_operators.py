@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratum.llm import decontamination, exact_dedup, lm_score, near_dedup, pieces, quality, secrets, sharding, token_output, warc
@@ -135,6 +136,31 @@ def test_simple8b():
                 assert (token_output.unpack(coded[int(offsets[b]) : int(offsets[b + 1])]) == ids[b * 4096 : (b + 1) * 4096]).all()
 
 
+def test_word_encoder_equals_whole_texts():
+    encoder = token_output.WordEncoder(P.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    atoms = ["a", "Word", "9", "été", "'s", "_", ",", "...", ")(", " ", " ", "\n", "\t", "\r", "\0", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "²", "<|endoftext|>", "日本"]
+    plain = [x for x in atoms if not x.isspace() and x != "\0"]
+    texts = ["", " ", "\n", "a\n", "\na", "a  b", "a \nb", "a\nb"]
+    texts += ["".join(rng.choices(atoms, k=rng.randint(1, 12))) for _ in range(600)]
+    texts += [rng.choice([" ", "\n"]).join("".join(rng.choices(plain, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for a, b in [(0, 1), *((k, k + 100) for k in range(0, len(texts), 100))]:
+        ids, counts = encoder.encode(pa.array(texts[a:b]))
+        assert counts.tolist() == [len(x) for x in whole[a:b]] and ids.tolist() == [i for x in whole[a:b] for i in x]
+
+
+def test_token_slices():
+    for most_rows, most_bytes in ((3, 10), (100, 1)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(token_output, "SLICE_ROWS", most_rows)
+            m.setattr(token_output, "SLICE_BYTES", most_bytes)
+            lengths = np.array([0, 0, 0, 0, 4, 4, 4, 50, 1, 0])
+            cuts = list(token_output._slices(lengths))
+            assert [k for a, b in cuts for k in range(a, b)] == list(range(len(lengths)))
+            assert all(b - a <= most_rows and (b - a == 1 or lengths[a:b].sum() <= most_bytes) for a, b in cuts)
+
+
 def test_token_output(docs, rows, empty):
     from tokenizers import Tokenizer
 
