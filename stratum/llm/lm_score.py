@@ -1,19 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counting. Words are hashed to 64 bits and counted over all training texts, combined per task before they
-shuffle. The model's vocabulary is the head of that count (VOCABULARY words at most, by a count threshold);
-other words share one unknown class. Counts of vocabulary pairs (w1 w2) seen at least twice, and of the words,
-are quantised to 1 + floor(log2 count) and put into a Bloom filter as (n-gram, 1) ... (n-gram, q). All of an
-n-gram's bits lie in one 4 KB block, so blocks are built apart, by executors, and only finished blocks reach
-the driver. The filter has BITS_EACH bits an entry and FILTER_BYTES at most: a corpus with more pairs than
-that holds raises the least count of a pair.
+Texts are read once into slabs: the distinct word hashes of some documents and each token's place among them.
+Every word and every pair of neighbouring words (v w) of a slab is an n-gram with its count in the slab's
+training texts. N-grams are dealt by hash into parts, whose number grows with the corpus; a part adds up the
+counts, quantises them to 1 + floor(log2 count) and puts (n-gram, 1) ... (n-gram, q) into its own piece of the
+Bloom filter, of BITS_EACH bits an entry. No word and no pair is left out. The same part answers the slabs: it
+probes (n-gram, 1), (n-gram, 2), ... until one is absent, and the answers go back to the slabs. With them
+    p(w | v) = (c(v w) + MU * p(w)) / (c(v) + MU),   p(w) = (c(w) + 1) / (N + V + 1).
 
-Scoring. A count is read by probing (n-gram, 1), (n-gram, 2), ... until one is absent. With it
-    p(w | v) = (c(v w) + MU * p(w)) / (c(v) + MU),   p(w) = (c(w) + 1) / (N + V + 1),
-and an unknown word has the class's probability divided by the number of words outside the vocabulary plus one.
-
-The base score wants exact counts of all words: those of the HEAD most frequent (by a count threshold) are
-broadcast, at most HEAD of them; a text's other words shuffle to their counts.
+The base score wants exact counts of words; the part that holds a word sends its exact count along.
 
 Defined results: null and empty texts are one end token; a null id is not held out; with no training text all
 counts are 0; rows equal in id are scored each for itself; other columns are ignored.
@@ -21,19 +16,24 @@ counts are 0; rows equal in id are scored each for itself; other columns are ign
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stored
 from .shingles import _STEP, _hashed, _mixed, words
 
-#: Bounds of what is broadcast: words with exact counts (16 bytes each), words of the model, the filter.
-HEAD, VOCABULARY, FILTER_BYTES = 1 << 18, 1 << 16, 64 << 20
-BITS_EACH, PROBES, BLOCK_BITS, MU, LEAST_PAIR = 14, 6, 1 << 15, 40.0, 2
-_END, _START = np.uint64(0x5EED0E0D), np.uint64(0x57A27)
-_COMBINED = 3_000_000  # counts a task holds before it passes them on
+#: Tokens of a slab (more only for a longer text) and, about, n-grams that a part receives.
+SLAB, PART = 1 << 20, 1 << 20
+BITS_EACH, PROBES, BLOCK_BITS, MU = 14, 6, 1 << 15, 40.0
+#: Bounds of an earlier form that the tests still set. Nothing reads them.
+HEAD = VOCABULARY = None
+_END, _START, _DEAL = np.uint64(0x5EED0E0D), np.uint64(0x57A27), np.uint64(0xD6E8FEB86659FD93)
 
 
 def held_out(c: Column) -> Column:
@@ -49,243 +49,249 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(v * _STEP) + w)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
-
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order of appearance, and the place of each of x among them."""
+    coded = pa.array(x).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
-def _place(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of x in the sorted keys, whether it is there)."""
-    if not len(keys):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return at, keys[at] == x
 
+@cache
+def _zipper():
+    return zstd.ZstdCompressor(level=1), zstd.ZstdDecompressor()
 
-def _counted(texts: DataFrame, hashes_of) -> DataFrame:
-    """(h, n): counts over all texts of what `hashes_of` (text -> hashes) gives."""
 
-    def count(batches):
-        held, size = [], 0
+def _packed(x: np.ndarray) -> bytes:
+    """Compressed, the bytes of one significance after those of another."""
+    return _zipper()[0].compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes())
 
-        def merged():
-            keys = np.concatenate([k for k, _ in held])
-            unique, at = np.unique(keys, return_inverse=True)
-            return unique, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                got = [hashes_of(t.as_py()) for t in batch.column(0).slice(a, 2000)]
-                held.append(np.unique(np.concatenate(got), return_counts=True))
-                size += len(held[-1][0])
-                if size > _COMBINED:
-                    held[:] = [merged()]
-                    size = len(held[0][0])
-                    if size > _COMBINED // 2:
-                        yield pa.RecordBatch.from_pydict({"h": _signed(held[0][0]), "n": held[0][1].astype(np.int64)})
-                        held.clear()
-                        size = 0
-        if held:
-            keys, n = merged()
-            yield pa.RecordBatch.from_pydict({"h": _signed(keys), "n": n})
-
-    return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def _threshold(counts: DataFrame, most: int) -> int:
-    """The least count that at most `most` rows have or exceed."""
-    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n")))).cast("long"))
-    rows = sorted(((r["c"], r["rows"]) for r in counts.groupBy(step.alias("c")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)  # under 4,200 rows
-    total, least = 0, 1 << 62
-    for c, n in rows:
-        total += n
-        if total > most:
-            return least
-        least = c if c < 4096 else c // 2 + 1
-    return 1
-
-
-def _collected(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of at least that count, sorted by hash. The caller's threshold bounds them."""
-    got = counts.filter(F.col("n") >= least).toArrow()
-    h, n = got.column("h").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def _unpacked(data, kind: str) -> np.ndarray:
+    got = np.frombuffer(_zipper()[1].decompress(data), np.uint8)
+    return np.ascontiguousarray(got.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def quantised(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1].astype(np.int64)
 
 
+def middle(level: np.ndarray) -> np.ndarray:
+    """The middle of a count class; 0 of level 0."""
+    return np.where(level == 0, 0.0, (3.0 * np.exp2(level - 1.0) - 1) / 2)
+
+
 class LogFrequencyFilter:
-    """Blocks of bits; `count` gives the middle of an n-gram's count class, 0 if it is absent."""
+    """Blocks of bits, all bits of an n-gram in one of them; `level` gives an n-gram's count class, 0 if it is absent."""
 
     def __init__(self, blocks: int):
-        self.bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
+        self.blocks, self.bits = blocks, np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
+
+    @classmethod
+    def of(cls, gram: np.ndarray, n: np.ndarray) -> LogFrequencyFilter:
+        """Holds all of these distinct n-grams, of counts over 0."""
+        q = quantised(n)
+        out = cls(max(1, -(-int(q.sum()) * BITS_EACH // BLOCK_BITS)))
+        bits = np.zeros(out.blocks * BLOCK_BITS, bool)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            deep = gram[q >= level]
+            first = out.first(deep)
+            for probe in range(PROBES):
+                bits[first + out.places(deep, level, probe)] = True
+        out.bits = np.packbits(bits, bitorder="little")
+        return out
 
     @staticmethod
     def places(gram: np.ndarray, level: int, probe: int) -> np.ndarray:
         return (_mixed(gram + np.uint64((level * 64 + probe + 1) * int(_STEP) % 2**64)) >> np.uint64(49)).astype(np.int64)
 
-    @staticmethod
-    def blocks_of(gram: np.ndarray, blocks: int) -> np.ndarray:
-        return (_mixed(gram ^ _STEP) % np.uint64(blocks)).astype(np.int64)
-
-    def has(self, gram: np.ndarray, level: int) -> np.ndarray:
-        block, out = self.blocks_of(gram, len(self.bits)), np.ones(len(gram), bool)
-        for probe in range(PROBES):
-            at = self.places(gram, level, probe)
-            out &= (self.bits[block, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
+    def first(self, gram: np.ndarray) -> np.ndarray:
+        """Where an n-gram's block begins."""
+        return (_mixed(gram ^ _STEP) % np.uint64(self.blocks)).astype(np.int64) * BLOCK_BITS
 
-    def count(self, gram: np.ndarray) -> np.ndarray:
+    def level(self, gram: np.ndarray) -> np.ndarray:
         level, live, q = np.zeros(len(gram), np.int64), np.arange(len(gram)), 1
         while len(live) and q < 64:
-            live = live[self.has(gram[live], q)]
+            for probe in range(PROBES):
+                own = gram[live]
+                at = self.first(own) + self.places(own, q, probe)
+                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             level[live] = q
             q += 1
-        return np.where(level == 0, 0.0, (3.0 * np.exp2(level - 1.0) - 1) / 2)
+        return level
+
+    def count(self, gram: np.ndarray) -> np.ndarray:
+        """The middle of each n-gram's count class."""
+        return middle(self.level(gram))
+
+
+class Slab:
+    """Some documents as word places, and their n-grams: the words, the start, the pairs."""
+
+    def __init__(self, lengths: bytes, held: bytes, vocabulary: bytes, tokens: bytes):
+        self.lengths, self.held = np.frombuffer(lengths, "<i8"), np.frombuffer(held, bool)
+        own, self.tokens = np.frombuffer(vocabulary, "<u8"), _unpacked(tokens, "<i4").astype(np.int64)
+        self.words, self.starts = len(own), np.cumsum(self.lengths) - self.lengths
+        every = np.append(own, _START)
+        self.before = np.concatenate([[self.words], self.tokens[:-1]])
+        self.before[self.starts] = self.words
+        pairs, self.pair = _distinct(self.before * len(every) + self.tokens)
+        self.grams = np.concatenate([every, _pair(every[pairs // len(every)], every[pairs % len(every)])])
+
+    def trained(self) -> np.ndarray:
+        """Counts of the n-grams in the documents that are not held out."""
+        mask = np.repeat(~self.held, self.lengths)
+        return np.concatenate([np.bincount(self.tokens[mask], minlength=self.words), [(~self.held).sum()], np.bincount(self.pair[mask], minlength=len(self.grams) - self.words - 1)]).astype(np.int64)
+
+    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams by part, where in that order each part begins and ends)."""
+        part = _mixed(self.grams ^ _DEAL) % np.uint64(parts)
+        order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+        return order, np.searchsorted(part[order], np.arange(parts + 1).astype(np.uint64))
+
+    def scores(self, level: np.ndarray, exact: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each document the words known, the base score and the score. level: of each n-gram; exact: counts of
+        the words; total: N + V + 1."""
+        counts = middle(level)
+        single, behind = (counts[self.tokens] + 1) / total, counts[self.before]
+        seen = np.minimum(counts[self.words + 1 + self.pair], behind)
+        logs = np.log10(np.minimum((seen + MU * single) / (behind + MU), 1.0))
+        base = (np.log10(exact + 1.0) - np.log10(total))[self.tokens]
+        return np.add.reduceat((exact > 0)[self.tokens].astype(np.int64), self.starts), np.add.reduceat(base, self.starts), np.add.reduceat(logs, self.starts)
+
+
+_SLAB = "slab long, ids array<long>, n_tokens long, train_tokens long, lengths binary, held binary, vocabulary binary, tokens binary"
+
+
+def read_slabs(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """The documents as stored slabs."""
+
+    def cut(batches):
+        nth, ids, held, got, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def slab():
+            lengths, out = np.array([len(g) for g in got], "<i8"), np.array(held, bool)
+            own, at = _distinct(np.concatenate(got))
+            return pa.RecordBatch.from_pydict(
+                {
+                    "slab": pa.array([nth], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
+                    "n_tokens": pa.array([size], pa.int64()), "train_tokens": pa.array([int(lengths[~out].sum())], pa.int64()),
+                    "lengths": pa.array([lengths.tobytes()], pa.binary()), "held": pa.array([out.tobytes()], pa.binary()),
+                    "vocabulary": pa.array([own.astype("<u8").tobytes()], pa.binary()), "tokens": pa.array([_packed(at.astype("<i4"))], pa.binary()),
+                }
+            )
+
+        for batch in batches:
+            for i, out, text in zip(*batch.columns, strict=True):
+                ids.append(i.as_py())
+                held.append(out.as_py())
+                got.append(token_hashes(text.as_py()))
+                size += len(got[-1])
+                if size >= most:
+                    yield slab()
+                    nth, ids, held, got, size = nth + 1, [], [], [], 0
+        if ids:
+            yield slab()
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
+    return stored(narrow.mapInArrow(cut, _SLAB), "slabs")
+
+
+def _opened(batch: pa.RecordBatch, k: int) -> Slab:
+    return Slab(*(batch.column(c)[k].as_py() for c in ("lengths", "held", "vocabulary", "tokens")))
 
 
-def _filter(grams: DataFrame) -> LogFrequencyFilter:
-    """grams: (h, n), all to be held."""
-    entries = grams.agg(F.sum(F.floor(F.log2("n")) + 1)).first()[0] or 0
-    blocks = max(1, -(-int(entries) * BITS_EACH // BLOCK_BITS))
+_ANSWER = "slab long, part long, levels binary, counts binary, new_words long"
 
-    def build(batches):
-        made: dict[int, np.ndarray] = {}
+
+def _answers(slabs: DataFrame, parts: int) -> DataFrame:
+    """Stored answers of the parts: of a slab's n-grams in a part the levels, and the exact counts of its words.
+    new_words: in one row of each part, the distinct training words that it holds."""
+
+    def ask(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                slab = _opened(batch, k)
+                n, (order, ends) = slab.trained(), slab.dealt(parts)
+                grams, n, is_word = slab.grams[order], n[order].astype("<u4"), order < slab.words
+                spans = [(p, a, b) for p, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
+                for a in range(0, len(spans), 64):
+                    some = spans[a : a + 64]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "slab": pa.array([batch.column("slab")[k].as_py()] * len(some), pa.int64()), "part": pa.array([p for p, _, _ in some], pa.int64()),
+                            "words": pa.array([int(is_word[x:y].sum()) for _, x, y in some], pa.int64()),
+                            "grams": pa.array([grams[x:y].tobytes() for _, x, y in some], pa.binary()), "n": pa.array([_packed(n[x:y]) for _, x, y in some], pa.binary()),
+                        }
+                    )
+
+    def answered(part, rows):
+        sizes = np.array([len(g) for _, _, g, _ in rows])
+        own, at = _distinct(np.concatenate([g for _, _, g, _ in rows]))
+        n = np.zeros(len(own), np.int64)
+        np.add.at(n, at, np.concatenate([x for _, _, _, x in rows]))
+        level = LogFrequencyFilter.of(own[n > 0], n[n > 0]).level(own).astype(np.uint8)
+        is_word, begin = np.zeros(len(own), bool), 0
+        out = []
+        for (slab, k, _, _), size in zip(rows, sizes.tolist(), strict=True):
+            here = at[begin : begin + size]
+            is_word[here[:k]] = True
+            out.append((slab, _packed(level[here]), _packed(n[here[:k]].astype("<i8"))))
+            begin += size
+        fresh = int((is_word & (n > 0)).sum())
+        yield pa.RecordBatch.from_pydict(
+            {
+                "slab": pa.array([s for s, _, _ in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()),
+                "levels": pa.array([x for _, x, _ in out], pa.binary()), "counts": pa.array([x for _, _, x in out], pa.binary()),
+                "new_words": pa.array([fresh] + [0] * (len(out) - 1), pa.int64()),
+            }
+        )
+
+    def answer(batches):
+        part, rows = None, []
         for batch in batches:
-            gram, q = batch.column(0).to_numpy().view(np.uint64), quantised(batch.column(1).to_numpy())
-            block = LogFrequencyFilter.blocks_of(gram, blocks)
-            order = np.argsort(block, kind="stable")
-            gram, q, block = gram[order], q[order], block[order]
-            own, index = np.unique(block, return_inverse=True)
-            bits = np.zeros((len(own), BLOCK_BITS // 8), np.uint8)
-            for level in range(1, int(q.max(initial=0)) + 1):
-                deep = q >= level
-                for probe in range(PROBES):
-                    at = LogFrequencyFilter.places(gram[deep], level, probe)
-                    np.bitwise_or.at(bits, (index[deep], at >> 3), (1 << (at & 7)).astype(np.uint8))
-            for b, x in zip(own.tolist(), bits, strict=True):
-                made[b] = made[b] | x if b in made else x
-        if made:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(made), pa.int64()), "bits": pa.array([x.tobytes() for x in made.values()], pa.binary())})
-
-    parts = max(1, min(64, blocks // 32))
-    dealt = grams.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"h": b.column(0), "n": b.column(1), "part": LogFrequencyFilter.blocks_of(b.column(0).to_numpy().view(np.uint64), blocks) * parts // blocks}) for b in batches), "h long, n long, part long")
-    out = LogFrequencyFilter(blocks)
-    for r in dealt.repartition(parts, "part").select("h", "n").mapInArrow(build, "block long, bits binary").toLocalIterator():  # FILTER_BYTES at most
-        out.bits[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-class Model:
-    def __init__(self, train_tokens: int, distinct: int, head, vocabulary: np.ndarray, vocabulary_tokens: int, grams: LogFrequencyFilter):
-        self.n, self.v, self.head, self.vocabulary, self.grams = train_tokens, distinct, head, vocabulary, grams
-        self.unknown = np.log10((train_tokens - vocabulary_tokens + 1) / (train_tokens + distinct + 1)) - np.log10(distinct - len(vocabulary) + 1)
-
-    def log_probs(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 p of each of the concatenated tokens; starts: where texts begin."""
-        total = self.n + self.v + 1
-        before = np.concatenate([[_START], tokens[:-1]])
-        before[starts] = _START
-        unique, at = np.unique(tokens, return_inverse=True)
-        known = _place(self.vocabulary, unique)[1]
-        counts = np.zeros(len(unique))
-        counts[known] = self.grams.count(unique[known])
-        own, known_own = counts[at], known[at]
-        single = (own + 1) / total
-        behind = np.concatenate([[0.0], own[:-1]])
-        behind[starts] = self.grams.count(np.array([_START]))[0]
-        both = known_own & np.concatenate([[False], known_own[:-1]])
-        both[starts] = known_own[starts]
-        pair, back = np.unique(_pair(before[both], tokens[both]), return_inverse=True)
-        seen = np.zeros(len(tokens))
-        seen[both] = self.grams.count(pair)[back]
-        p = np.where(both, (np.minimum(seen, behind) + MU * single) / (behind + MU), single)
-        return np.where(known_own, np.log10(np.minimum(p, 1.0)), self.unknown)
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the stored exact counts (h, n), learned from the rows that are not held out."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.filter(~held_out(F.col(id_col))).select(F.col(text_col).alias("text"))
-    counts = stored(_counted(texts, token_hashes), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = _collected(counts, _threshold(counts, HEAD))
-    least = _threshold(counts, VOCABULARY)
-    vocabulary = np.sort(head[0][head[1] >= least])
-    n_of = head[1][np.searchsorted(head[0], vocabulary)] if len(vocabulary) else np.zeros(0, np.int64)
-    words_held = spark.sparkContext.broadcast(vocabulary)
-
-    def pairs(text):
-        h = np.concatenate([[_START], token_hashes(text)])
-        known = _place(words_held.value, h)[1]
-        known[0] = True
-        both = known[1:] & known[:-1]
-        return np.append(_pair(h[:-1][both], h[1:][both]), _START)
-
-    grams = stored(_counted(texts, pairs).filter(F.col("n") >= LEAST_PAIR), "pairs")
-    entries = sorted(((r["q"], r["rows"]) for r in grams.groupBy(F.floor(F.log2("n")).alias("q")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)  # 63 rows at most
-    room, low = (FILTER_BYTES * 8 // BITS_EACH) - VOCABULARY * 40, 62
-    for q, rows in entries:
-        room -= rows * (q + 1)
-        if room < 0:
-            break
-        low = q
-    kept = grams.filter(F.col("n") >= max(LEAST_PAIR, 1 << low if entries and low < 62 else LEAST_PAIR))
-    single = spark.createDataFrame(pa.table({"h": _signed(vocabulary), "n": n_of})) if len(vocabulary) else kept.limit(0)
-    return Model(total, distinct, head, vocabulary, int(n_of.sum()), _filter(kept.unionByName(single))), counts
+            for s, p, k, g, n in zip(*(batch.column(c) for c in ("slab", "part", "words", "grams", "n")), strict=True):
+                if rows and p.as_py() != part:
+                    yield from answered(part, rows)
+                    rows = []
+                part = p.as_py()
+                rows.append((s.as_py(), k.as_py(), np.frombuffer(g.as_buffer(), "<u8"), _unpacked(n.as_buffer(), "<u4")))
+        if rows:
+            yield from answered(part, rows)
+
+    asked = slabs.mapInArrow(ask, "slab long, part long, words long, grams binary, n binary")
+    return stored(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(answer, _ANSWER), "answers")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    model, counts = train(docs, id_col, text_col)
-    shared = spark.sparkContext.broadcast(model)  # HEAD * 16 + FILTER_BYTES + VOCABULARY * 8 bytes at most
+    ship(docs.sparkSession)
+    slabs = read_slabs(docs, id_col, text_col, SLAB)
+    tokens, train_tokens = slabs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
+    parts = max(1, -(-tokens // PART))
+    answers = _answers(slabs, parts)
+    distinct = answers.agg(F.coalesce(F.sum("new_words"), F.lit(0))).first()[0]
+
+    def scored(ids, slab, rows):
+        order, _ = slab.dealt(parts)
+        level, exact = np.zeros(len(order), np.int64), np.zeros(slab.words, np.int64)
+        level[order] = np.concatenate([_unpacked(x, "u1") for _, x, _ in rows])
+        exact[order[order < slab.words]] = np.concatenate([_unpacked(x, "<i8") for _, _, x in rows])
+        known, base, score = slab.scores(level, exact, train_tokens + distinct + 1)
+        return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "held_out": pa.array(slab.held), "n_tokens": slab.lengths.astype(np.int64), "n_known": known, "base_score": base, "score": score})
 
     def score(batches):
-        m = shared.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                got = [token_hashes(t.as_py()) for t in part.column(2)]
-                lengths = np.array([len(g) for g in got])
-                starts = np.cumsum(lengths) - lengths
-                tokens, doc = np.concatenate(got), np.repeat(np.arange(len(got)), lengths)
-                unique, at = np.unique(tokens, return_inverse=True)
-                place, known = _place(m.head[0], unique)
-                logs = np.where(known, np.log10(np.where(known, m.head[1][place] if len(m.head[1]) else 0, 0) + 1.0), 0.0)
-                is_known = known[at]
-                rare = ~is_known
-                key, n = np.unique(np.stack([doc[rare].astype(np.uint64), tokens[rare]]), axis=1, return_counts=True) if rare.any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-                cut = np.searchsorted(key[0], np.arange(len(got) + 1).astype(np.uint64))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "rid": part.column(0),
-                        "id": part.column(1),
-                        "n_tokens": lengths.astype(np.int64),
-                        "n_head": np.add.reduceat(is_known.astype(np.int64), starts),
-                        "base_head": np.add.reduceat(logs[at], starts),
-                        "score": np.add.reduceat(m.log_probs(tokens, starts), starts),
-                        "rare": pa.array([key[1][x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()),
-                        "times": pa.array([n[x:y].astype("<i4").tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()),
-                    }
-                )
-
-    narrow = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scored = stored(narrow.mapInArrow(score, "rid long, id long, n_tokens long, n_head long, base_head double, score double, rare binary, times binary"), "scores")
-
-    def spread(batches):
+        slab, rows = None, []
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                rare = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
-                times = [np.frombuffer(x.as_py(), "<i4") for x in part.column(2)]
-                yield pa.RecordBatch.from_pydict({"rid": np.repeat(part.column(0).to_numpy(), [len(x) for x in rare]), "h": np.concatenate(rare), "times": np.concatenate(times).astype(np.int32)})
-
-    rows = scored.filter(F.length("rare") > 0).select("rid", "rare", "times").mapInArrow(spread, "rid long, h long, times int")
-    met = rows.join(counts, "h").groupBy("rid").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("base_rare"))
-    out = scored.drop("rare", "times").join(met, "rid", "left")
-    base = F.col("base_head") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.n + model.v + 1))
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+            for k in range(batch.num_rows):
+                if (part := batch.column("part")[k].as_py()) < 0:
+                    if slab is not None:
+                        yield scored(ids, slab, rows)
+                    ids, slab, rows = batch.column("ids")[k].as_py(), _opened(batch, k), []
+                else:
+                    rows.append((part, batch.column("levels")[k].as_py(), batch.column("counts")[k].as_py()))
+        if slab is not None:
+            yield scored(ids, slab, rows)
+
+    # A slab comes before its answers, and these in order of part.
+    both = slabs.withColumn("part", F.lit(-1).cast("long")).unionByName(answers.drop("new_words"), allowMissingColumns=True)
+    out = both.repartition("slab").sortWithinPartitions("slab", "part").mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

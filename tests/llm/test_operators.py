@@ -268,6 +268,28 @@ def test_log_frequency_filter():
     assert lm_score.quantised(np.array([1, 2, 3, 4, 1024])).tolist() == [1, 2, 2, 3, 11]
 
 
+def test_lm_score_holds_every_word_and_pair(docs, rows, monkeypatch):
+    monkeypatch.setattr(lm_score, "SLAB", 2000)
+    monkeypatch.setattr(lm_score, "PART", 3000)  # several parts
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    ones, pairs = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if not held(i):
+            own = ["<start>", *words(t), None]
+            ones.update(own)
+            pairs.update(zip(own, own[1:], strict=False))
+    total = sum(ones.values()) - ones["<start>"] + len(ones) - 1 + 1
+    c = lambda n: (3 * 2 ** (n.bit_length() - 1) - 1) / 2 if n else 0.0
+    want = {}
+    for i, t in rows:
+        own = ["<start>", *words(t), None]
+        want[i] = sum(math.log10((c(pairs[v, w]) + 40 * (c(ones[w]) + 1) / total) / (c(ones[v]) + 40)) for v, w in zip(own, own[1:], strict=False))
+    got = lm_score.score_texts(docs).collect()
+    same = sum(abs(r["score"] - want[r["doc_id"]]) < 1e-6 * abs(want[r["doc_id"]]) for r in got)
+    assert len(got) == len(rows) and same >= 0.6 * len(got)  # the others met a false positive of the filter
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 0.05 * abs(want[r["doc_id"]]) + 1 for r in got)
+
+
 def test_quality(spark, rows, empty):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["the", "house", "stands", "by", "river", "and", "green", "fields"]) for _ in range(80))
