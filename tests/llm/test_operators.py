@@ -290,6 +290,14 @@ def test_lm_score_holds_every_word_and_pair(docs, rows, monkeypatch):
     assert all(abs(r["score"] - want[r["doc_id"]]) < 0.05 * abs(want[r["doc_id"]]) + 1 for r in got)
 
 
+def test_log_frequency_filter_keeps_all():
+    rng = np.random.default_rng(2)
+    grams, n = rng.integers(0, 2**63, 50_000, dtype=np.uint64), rng.integers(1, 9, 50_000)
+    held = lm_score.LogFrequencyFilter.of(grams, n)
+    assert (held.level(grams) >= lm_score.quantised(n)).all() and (held.level(grams) == lm_score.quantised(n)).mean() > 0.99
+    assert (held.level(rng.integers(0, 2**63, 50_000, dtype=np.uint64)) > 0).mean() < 0.01
+
+
 def test_quality(spark, rows, empty):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["the", "house", "stands", "by", "river", "and", "green", "fields"]) for _ in range(80))
