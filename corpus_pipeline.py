@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and N-best scores of every document."""
+    """Ids and scores of the N best segmentations of every document."""
     return encode_texts(docs, tokenizer_file("piece_bpe_32k.model"))
 
 

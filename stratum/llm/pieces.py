@@ -240,9 +240,9 @@ def lattice(model_path: str) -> Lattice:
 
 def encode_texts(docs: DataFrame, model_path: str, n_best: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_pieces, ids (uint32 little-endian) and score of the best segmentation, the
-    scores and id checksums of the N best, and whether the best decodes to the text."""
+    ids, scores and id checksums of the N best, and whether the best decodes to the text."""
     ship(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("scores", pa.list_(pa.float64())), ("crc32s", pa.list_(pa.int64())), ("round_trip", pa.bool_())])
+    schema = pa.schema([("id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("n_best_ids", pa.list_(pa.binary())), ("scores", pa.list_(pa.float64())), ("crc32s", pa.list_(pa.int64())), ("round_trip", pa.bool_())])
 
     def encode(batches):
         model = lattice(model_path)
@@ -253,11 +253,11 @@ def encode_texts(docs: DataFrame, model_path: str, n_best: int = N_BEST, id_col:
                     best = model.encode(text or "", n_best)
                     score, ids = best[0]
                     sums = [zlib.crc32(x) for _, x in best]
-                    rows.append((i, len(ids) // 4, ids, sums[0], score, [s for s, _ in best], sums, model.decode(ids) == (text or "")))
+                    rows.append((i, len(ids) // 4, ids, sums[0], score, [x for _, x in best], [s for s, _ in best], sums, model.decode(ids) == (text or "")))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(encode, "id long, n_pieces long, ids binary, ids_crc32 long, score double, scores array<double>, crc32s array<long>, round_trip boolean").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(encode, "id long, n_pieces long, ids binary, ids_crc32 long, score double, n_best_ids array<binary>, scores array<double>, crc32s array<long>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("ids")
+    return encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,6 +206,19 @@ def test_pieces(docs, rows, empty):
     assert pieces.encode_texts(empty, path).count() == 0
 
 
+def test_pieces_give_all_n_best(spark, docs, rows):
+    path = P.path("piece_bpe_32k.model")
+    model = pieces.lattice(path)
+    texts = {i: t or "" for i, t in rows}
+    for r in pieces.encode_texts(docs, path).collect():
+        assert r["n_best_ids"][0] == r["ids"] and len(r["n_best_ids"]) == len(r["scores"]) == len(set(r["n_best_ids"]))
+        assert [zlib.crc32(x) for x in r["n_best_ids"]] == r["crc32s"]
+        assert {model.decode(x) for x in r["n_best_ids"]} == {texts[r["doc_id"]]}
+    from stratum.llm import queries
+
+    assert {"ids", "n_best_ids"} <= set(queries.op2_sentencepiece(spark, "/root/testdata/sf0.001").columns)
+
+
 def test_secrets(spark, empty):
     key = "AKIA" + "Z9" * 8
     mixed = "aB3dE5gH7jK9mN1pQ3sT5vX7zB9"
