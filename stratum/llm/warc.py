@@ -6,8 +6,8 @@ has pass a Bloom filter and are written where they were read; only the others sh
 
 Reader. Records are checked as they are read: the gzip member's own checksum, the version line, the lengths and
 the block and payload digests. When a check fails the reader searches for the next offset at which a whole
-record is valid - the next member of a compressed file, the next version line of a plain one -, reports the
-bytes between as a gap with the reason, and goes on. Files are mapped, not loaded, where executors share the
+record is valid - a member or a version line, whichever comes first -, reports the bytes between as a gap with the
+reason, and goes on. Files are mapped, not loaded, where executors share the
 folder; elsewhere Spark hands over each file's bytes.
 
 Defined results: a null payload counts as empty, a null URL is written as urn:none, a null id has no id field and
@@ -37,7 +37,7 @@ from .files import attempt_name, listed_files, write_file
 FILE_BYTES, REVISIT_BYTES, DATE = 16 << 20, 100, "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_STEP = 1 << 16
+_STEP, _GZIP = 1 << 16, b"\x1f\x8b\x08"
 
 
 def record_id(page_id: int | None) -> str:
@@ -132,37 +132,47 @@ def _member(data, at: int) -> tuple[bytes, int]:
     return b"".join(parts), here - len(inflate.unused_data)
 
 
-def _try(data, at: int, packed: bool) -> tuple[dict, int]:
-    if not packed:
-        return parse_record(data, at)
+def _try(data, at: int) -> tuple[list[dict], int]:
+    """The record or the member at `at`, and the offset after it."""
+    if data[at : at + 3] != _GZIP:
+        record, after = parse_record(data, at)
+        return [record], after
     whole, after = _member(data, at)
     record, end = parse_record(whole)
     if end != len(whole):
         raise Damaged("bytes after the record in its member")
-    return record, after
+    return [record], after
 
 
 def salvage(data):
     """Of a file's buffer: ("record", start, end, record) and ("gap", start, end, reason), covering all bytes."""
     at, size = 0, len(data)
-    packed = size > 0 and not _VERSION.match(bytes(data[:10]))
-    mark = b"\x1f\x8b\x08" if packed else b"WARC/1."
+    marks = {m: -1 for m in (_GZIP, b"WARC/1.")}  # where each is next, as far as searched
+
+    def valid_from(seek):
+        """(offset, records, offset after them) of the first valid ones at `seek` or later."""
+        while seek < size:
+            for m, place in marks.items():
+                if place < seek:
+                    marks[m] = found if (found := data.find(m, seek)) >= 0 else size
+            if (seek := min(marks.values())) < size:
+                try:
+                    return seek, *_try(data, seek)
+                except Damaged:
+                    seek += 1
+        return None
+
     while at < size:
         try:
-            record, after = _try(data, at, packed)
+            records, after = _try(data, at)
         except Damaged as e:
-            reason, found, seek = str(e), None, at
-            while found is None and (seek := data.find(mark, seek + 1)) >= 0:
-                try:
-                    record, after = _try(data, seek, packed)
-                    found = seek
-                except Damaged:
-                    continue
-            yield "gap", at, size if found is None else found, reason
-            if found is None:
+            found = valid_from(at + 1)
+            yield "gap", at, found[0] if found else size, str(e)
+            if not found:
                 return
-            at = found
-        yield "record", at, after, record
+            at, records, after = found
+        for record in records:
+            yield "record", at, after, record
         at = after
 
 

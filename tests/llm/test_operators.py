@@ -372,6 +372,22 @@ def test_salvage(spark, tmp_path, packed):
     assert warc.read_archives(files).count() == 7
 
 
+def plain_record(k, payload, kind=b"response"):
+    made = warc.make_record(k, "http://a/", payload, hashlib.sha256(payload).hexdigest(), None, False)
+    return made.replace(b"WARC-Type: response", b"WARC-Type: " + kind)
+
+
+@pytest.mark.parametrize("start", [b"junk", b"WARC/0.18\r\n", b"XARC/1.1\r\n", b"\x1f\x8b\x08"])
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_after_a_damaged_start(start, packed):
+    records = [plain_record(k, b"payload %d" % k * 20) for k in range(3)]
+    parts = [warc.member(r) if packed else r for r in records]
+    broken = start + parts[0][len(start) :]
+    found = list(warc.salvage(broken + parts[1] + b"noise" + records[2] + parts[2]))
+    assert [x[3]["fields"]["x-page-id"] for x in found if x[0] == "record"] == (["0"] if packed and start[:3] == b"\x1f\x8b\x08" else []) + ["1", "2", "2"]
+    assert found[0][1] == 0 and all(x[2] == y[1] for x, y in zip(found, found[1:], strict=False))
+
+
 def test_pipeline_stages(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "encode"]
