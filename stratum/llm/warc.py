@@ -7,7 +7,8 @@ has pass a Bloom filter and are written where they were read; only the others sh
 Reader. Records are checked as they are read: the gzip member's own checksum, the version line, the lengths and
 the block and payload digests. When a check fails the reader searches for the next offset at which a whole
 record is valid - a member or a version line, whichever comes first -, reports the bytes between as a gap with the
-reason, and goes on. Files are mapped, not loaded, where executors share the
+reason, and goes on. Records of every type are read; the payload of one that is neither response nor revisit is its
+whole block. A member may hold several records, and is inflated in memory; one whose checksum fails is a gap. Files are mapped, not loaded, where executors share the
 folder; elsewhere Spark hands over each file's bytes.
 
 Defined results: a null payload counts as empty, a null URL is written as urn:none, a null id has no id field and
@@ -102,7 +103,9 @@ def parse_record(data, at: int = 0) -> tuple[dict, int]:
         raise Damaged("block digest differs")
     kind = fields.get("warc-type", "")
     record = {"type": kind, "uri": fields.get("warc-target-uri"), "fields": fields, "payload": block, "payload_bytes": len(block), "payload_digest": None}
-    if kind in ("response", "revisit"):
+    if kind not in ("response", "revisit"):
+        record["payload_digest"] = hashlib.sha256(block).hexdigest()
+    else:
         http, _, payload = block.partition(b"\r\n\r\n")
         declared = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", http)
         told = fields.get("warc-payload-digest", "")
@@ -132,22 +135,23 @@ def _member(data, at: int) -> tuple[bytes, int]:
     return b"".join(parts), here - len(inflate.unused_data)
 
 
-def _try(data, at: int) -> tuple[list[dict], int]:
-    """The record or the member at `at`, and the offset after it."""
-    if data[at : at + 3] != _GZIP:
+def _try(data, at: int, packed: bool) -> tuple[list[tuple], int]:
+    """(kind, record or reason) of the record or of what the member at `at` holds, and the offset after it."""
+    if not packed or data[at : at + 3] != _GZIP:
         record, after = parse_record(data, at)
-        return [record], after
+        return [("record", record)], after
     whole, after = _member(data, at)
-    record, end = parse_record(whole)
-    if end != len(whole):
-        raise Damaged("bytes after the record in its member")
-    return [record], after
+    inner = list(salvage(whole, (b"WARC/1.",)))
+    if all(kind == "gap" for kind, *_ in inner):
+        raise Damaged(inner[0][3] if inner else "empty member")
+    return [(kind, what) for kind, _, _, what in inner], after
 
 
-def salvage(data):
-    """Of a file's buffer: ("record", start, end, record) and ("gap", start, end, reason), covering all bytes."""
+def salvage(data, seek_marks=(_GZIP, b"WARC/1.")):
+    """Of a file's buffer: ("record", start, end, record) and ("gap", start, end, reason), covering all bytes. All
+    that a member holds has the member's start and end."""
     at, size = 0, len(data)
-    marks = {m: -1 for m in (_GZIP, b"WARC/1.")}  # where each is next, as far as searched
+    marks = dict.fromkeys(seek_marks, -1)  # where each is next, as far as searched
 
     def valid_from(seek):
         """(offset, records, offset after them) of the first valid ones at `seek` or later."""
@@ -157,22 +161,22 @@ def salvage(data):
                     marks[m] = found if (found := data.find(m, seek)) >= 0 else size
             if (seek := min(marks.values())) < size:
                 try:
-                    return seek, *_try(data, seek)
+                    return seek, *_try(data, seek, _GZIP in marks)
                 except Damaged:
                     seek += 1
         return None
 
     while at < size:
         try:
-            records, after = _try(data, at)
+            held, after = _try(data, at, _GZIP in marks)
         except Damaged as e:
             found = valid_from(at + 1)
             yield "gap", at, found[0] if found else size, str(e)
             if not found:
                 return
-            at, records, after = found
-        for record in records:
-            yield "record", at, after, record
+            at, held, after = found
+        for kind, what in held:
+            yield kind, at, after, what
         at = after
 
 
@@ -192,7 +196,7 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
         for kind, start, end, what in salvage(data):
             if kind == "gap":
                 yield (path, start, end, what, *[None] * (len(names) - 4))
-            elif what["type"] in ("response", "revisit"):
+            else:
                 f = what["fields"]
                 row = (path, start, end, None, number(f.get("x-page-id")), what["uri"], what["type"], number(f.get("x-refers-to-page-id")), what["payload_bytes"], what["payload_digest"])
                 yield (*row, what["payload"]) if with_payload else row

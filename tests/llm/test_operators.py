@@ -388,6 +388,23 @@ def test_salvage_after_a_damaged_start(start, packed):
     assert found[0][1] == 0 and all(x[2] == y[1] for x, y in zip(found, found[1:], strict=False))
 
 
+def test_archives_of_every_type(spark, tmp_path):
+    kinds = [b"warcinfo", b"request", b"response", b"resource", b"metadata", b"conversion"]
+    records = [plain_record(k, b"payload %d" % k * 20, kind) for k, kind in enumerate(kinds)]
+    hurt = bytearray(records[1])
+    hurt[-30] ^= 1
+    (tmp_path / "one.warc.gz").write_bytes(warc.member(b"".join(records)))
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(map(warc.member, records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "hurt.warc.gz").write_bytes(warc.member(b"".join([records[0], bytes(hurt), *records[2:]])) + warc.member(records[5]))
+    got = collections.defaultdict(list)
+    for r in warc.read_folder(spark, "file://" + str(tmp_path), True).collect():
+        got[r["file"].rsplit("/", 1)[1]].append("gap" if r["gap"] else r["record_type"])
+        assert r["gap"] or len(r["payload_digest"]) == 64 and b"payload %d" % r["page_id"] in r["payload"]
+    names = [k.decode() for k in kinds]
+    assert got == {"one.warc.gz": names, "each.warc.gz": names, "plain.warc": names, "hurt.warc.gz": [names[0], "gap", *names[2:], names[5]]}
+
+
 def test_pipeline_stages(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "encode"]
