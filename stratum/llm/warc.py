@@ -75,27 +75,28 @@ class Damaged(ValueError):
     """What failed."""
 
 
-def _fields(head: bytes) -> dict[str, str]:
+def _fields(data, at: int) -> tuple[dict[str, str], int]:
+    """The header lines at `at`, however many and long, and the offset after the empty line that ends them."""
     out = {}
-    for line in head.split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    while (end := data.find(b"\r\n", at)) != at:
+        if end < 0:
+            raise Damaged("header without an end")
+        name, colon, value = bytes(data[at:end]).partition(b":")
         if not colon:
             raise Damaged("header line without a name")
         out[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return out
+        at = end + 2
+    return out, at + 2
 
 
 def parse_record(data, at: int = 0) -> tuple[dict, int]:
     """The record at `at` of a buffer, checked, and the offset after it."""
     if not _VERSION.match(bytes(data[at : at + 10])):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if end < 0:
-        raise Damaged("header without an end")
-    fields = _fields(bytes(data[at + 10 : end]))
+    fields, start = _fields(data, at + 10)
     if not (length := fields.get("content-length", "")).isdigit():
         raise Damaged("no content length")
-    start, stop = end + 4, end + 4 + int(length)
+    stop = start + int(length)
     if bytes(data[stop : stop + 4]) != b"\r\n\r\n":
         raise Damaged("record end is not where the content length says")
     block = bytes(data[start:stop])
@@ -184,9 +185,10 @@ READ = "file string, start long, end long, gap string, page_id long, uri string,
 
 
 def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Records and gaps of the files (path[, content]); a gap has a reason in `gap` and no record."""
+    """Records and gaps of the files (path[, content][, records]); a gap has a reason in `gap` and no record. A file
+    that gives other than `records` records fails the query."""
     ship(files.sparkSession)
-    has_content, schema = "content" in files.columns, READ + (", payload binary" if with_payload else "")
+    has_content, has_records, schema = "content" in files.columns, "records" in files.columns, READ + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     arrow = pa.schema([(x.split()[0], types[x.split()[1]]) for x in schema.split(", ")])
@@ -204,20 +206,23 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
     def read(batches):
         for batch in batches:
             for k, path in enumerate(batch.column(0).to_pylist()):
-                held, size = [], 0
+                held, size, count = [], 0, 0
                 if has_content:
-                    source = batch.column(1)[k].as_py()
+                    source = batch.column("content")[k].as_py()
                 else:
                     with open(local_path(path), "rb") as f:
                         source = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if f.seek(0, 2) else b""
                 for row in rows_of(path, source):
                     held.append(row)
+                    count += row[3] is None
                     size += 200 + (len(row[-1] or b"") if with_payload else 0)
                     if size > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
                         held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+                if has_records and count != (want := batch.column("records")[k].as_py()):
+                    raise ValueError(f"{path}: {count} records read, {want} written")
 
     return files.mapInArrow(read, schema)
 
@@ -279,11 +284,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 def archive_digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """Write the archives into the shared folder and read them back: page_id, payload_bytes, payload_digest,
-    record_type, refers_to."""
+    record_type, refers_to. Fails if the records read differ in number from those written."""
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     manifest = write_archives(pages, folder, id_col, url_col, text_col)
     if manifest.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    read = read_archives(listed_files(manifest, folder, local_path(folder) is None)).filter("gap is null")
+    name = F.element_at(F.split("path", "/"), -1) == F.col("file")
+    files = listed_files(manifest, folder, local_path(folder) is None).join(F.broadcast(manifest), name).drop("file")  # a name per file of megabytes
+    if (there := files.select("path").count()) != (want := manifest.count()):
+        raise ValueError(f"{there} archives found, {want} written")
+    read = read_archives(files).filter("gap is null")
     return read.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -405,6 +405,22 @@ def test_archives_of_every_type(spark, tmp_path):
     assert got == {"one.warc.gz": names, "each.warc.gz": names, "plain.warc": names, "hurt.warc.gz": [names[0], "gap", *names[2:], names[5]]}
 
 
+def test_long_urls_and_record_counts(spark, tmp_path, monkeypatch):
+    url = "http://a/" + "語" * 130_000
+    pages = spark.createDataFrame([(1, url, "x" * 200), (2, "u", "y")], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.archive_digests(pages).collect()) == [1, 2]
+    manifest = warc.write_archives(pages, "file://" + str(tmp_path))
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(warc, "write_archives", lambda *a: manifest.withColumn("records", F.col("records") + 1))
+    monkeypatch.setattr(warc, "scratch_path", lambda *a: "file://" + str(tmp_path))
+    with pytest.raises(Exception, match="records read"):
+        warc.archive_digests(pages).collect()
+    os.remove(next(p for p in tmp_path.iterdir() if p.name.endswith(".gz")))
+    with pytest.raises(ValueError, match="archives found"):
+        warc.archive_digests(pages)
+
+
 def test_pipeline_stages(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "encode"]
