@@ -6,12 +6,12 @@ long text does not become its own dictionary, and calibrated by a logistic curve
 curve moves a text of n bytes by n / (n + EVIDENCE) of the way from the labels' prior.
 
 Training takes a bounded sample of labelled rows (`TRAIN_ROWS` a label, texts of up to `TRAIN_CHARS`
-characters): most of it makes the dictionaries, the rest the curve. Nothing else is bounded: every row is
+characters): of each label most rows make the dictionaries, the rest, one at least, the curve. Nothing else is bounded: every row is
 scored over its whole text.
 
 Defined results: null and empty texts get the labels' prior; a document whose labels
 contradict one another, or are null, is not learned from; without labelled rows of both kinds, every score is
-0.5; rows equal in id are scored each for itself; other columns are ignored by `score_quality` and kept by
+0.5 and `keep_quality` keeps all; rows equal in id are scored each for itself; other columns are ignored by `score_quality` and kept by
 `keep_quality`.
 """
 
@@ -39,14 +39,14 @@ class Model:
         self._compressors = None
         if not (any(labels) and not all(labels)):
             return
-        part = lambda q, held: [t.encode("utf-8", "replace") for k, (t, y) in enumerate(zip(texts, labels, strict=True)) if y == q and (k % 4 == 3) == held]
-        self.good, self.bad = (self._dictionary(part(q, False) or part(q, True)) for q in (1, 0))
-        rows = [(t, y) for k, (t, y) in enumerate(zip(texts, labels, strict=True)) if k % 4 == 3]
-        x, weight = np.array([self.difference(t) for t, _ in rows]).reshape(-1, 2).T
-        y = np.array([v for _, v in rows], float)
-        if len(y) and y.min() < y.max():
-            self.slope, self.shift = self._fit(x, weight, y)
-            self.prior = float(np.log(prior / (1 - prior)))
+        own = {q: [t for t, y in zip(texts, labels, strict=True) if y == q] for q in (1, 0)}
+        curve = {q: ts[3::4] or ts[-1:] for q, ts in own.items()}
+        rest = {q: [t for k, t in enumerate(ts) if k % 4 != 3][: len(ts) - 1 or 1] for q, ts in own.items()}  # a lone row serves both
+        self.good, self.bad = (self._dictionary([t.encode("utf-8", "replace") for t in rest[q]]) for q in (1, 0))
+        rows = [(t, q) for q, ts in curve.items() for t in ts]
+        x, weight = np.array([self.difference(t) for t, _ in rows]).T
+        self.slope, self.shift = self._fit(x, weight, np.array([v for _, v in rows], float))
+        self.prior = float(np.log(prior / (1 - prior)))
 
     def __getstate__(self):
         return self.__dict__ | {"_compressors": None}
@@ -142,6 +142,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that the classifier accepts."""
+    """The rows of `docs` that the classifier accepts; all of them if the labels give no classifier."""
     (score,) = fresh(docs, "score")
-    return _scored(docs, train(docs, labels, id_col, text_col), text_col, score).filter(F.col(score) >= threshold).select(*docs.columns)
+    model = train(docs, labels, id_col, text_col)
+    if not model.good:
+        return docs
+    return _scored(docs, model, text_col, score).filter(F.col(score) >= threshold).select(*docs.columns)

@@ -329,6 +329,19 @@ def test_quality(spark, rows, empty):
     assert quality.score_quality(empty, labels).count() == 0
 
 
+def test_quality_of_few_rows_of_a_label(spark):
+    rng = random.Random(7)
+    good = lambda: " ".join(rng.choice(["the", "house", "stands", "by", "river", "and", "green", "fields"]) for _ in range(80))
+    bad = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "CLICK$$$", "HERE%%%", "WIN***"]) for _ in range(80))
+    for few in (1, 2, 3, 5):
+        texts = [bad() if k % 4 == 0 and k < 4 * few else good() for k in range(100)]  # none of the few at a place of 3 modulo 4
+        model = quality.Model(texts, [int("!" not in t) for t in texts], 0.9)
+        assert model.slope > 0 and model.score(good()) > quality.THRESHOLD > model.score(bad())
+    docs = spark.createDataFrame([(k, good()) for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
+    assert quality.keep_quality(docs, labels).count() == 30
+
+
 def test_warc(spark, tmp_path, empty):
     big = "<p>" + "é" * 200 + "</p>"
     rows = [(1, "http://a/é b", big), (2, None, big), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", "x" * 300000), (0, "u", big), (0, "u", big), (None, "u", "n" * 150)]
