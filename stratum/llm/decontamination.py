@@ -9,7 +9,8 @@ the item's words that tiles cover decides; tiles may stand in any order, so reor
 Items come in blocks of a bounded size that are broadcast one after another against all documents; documents
 never shuffle. Work on a document is in proportion to its own words and seeds.
 
-Defined results: null and empty texts and items match nothing; nor do items of fewer than MIN_MATCH words;
+Defined results: null and empty texts and items match nothing; nor do items of fewer than MIN_MATCH words, unless
+`short_items` is set: then such an item is found where all its words stand in one run;
 rows equal in id are reported each for itself; an empty table of either kind gives an empty result; other
 columns are ignored by `find_contamination` and kept by `drop_contaminated`.
 """
@@ -77,22 +78,42 @@ def tile(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], k: int
 class Items:
     """A block of benchmark items, ready to be held against documents."""
 
-    def __init__(self, rows: list[tuple[int, str]], k: int = MIN_MATCH):
+    def __init__(self, rows: list[tuple[int, str]], k: int = MIN_MATCH, short_items: bool = False):
         self.k, self.vocabulary, self.items = k, {}, {}
         postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}  # by number of words: the items of those words
         for n, (item_id, text) in enumerate(rows):
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int64)
             if len(ids) >= k:
                 self.items[n] = (item_id, ids)
                 for p, h in enumerate(_rolling(ids, k).tolist()):
                     postings[h].append((n, p))
+            elif short_items and len(ids):
+                self.items[n] = (item_id, ids)
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids.tolist()), []).append(n)
         self.postings = dict(postings)
         self.hashes = np.array(sorted(self.postings), np.uint64)
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int, list[tuple[int, int, int]]]]:
         """(item id, coverage, words covered, words of the item, tiles) of each item that shares a run."""
-        k = self.k
         ids = np.fromiter(map(self.vocabulary.get, words_of(text), repeat(0)), np.int64)
+        out = self._tiled(ids)
+        if self.short:
+            out += self._whole(ids)
+        return out
+
+    def _whole(self, ids: np.ndarray) -> list[tuple[int, float, int, int, list[tuple[int, int, int]]]]:
+        """The short items that stand in a text, each at its first place."""
+        first: dict[int, int] = {}
+        own = ids.tolist()
+        for size, items in self.short.items():
+            for j, run in enumerate(zip(*(own[a:] for a in range(size)), strict=False)):
+                for n in items.get(run, ()):
+                    first.setdefault(n, j)
+        return [(self.items[n][0], 1.0, size, size, [(0, j, size)]) for n, j in sorted(first.items()) for size in (len(self.items[n][1]),)]
+
+    def _tiled(self, ids: np.ndarray) -> list[tuple[int, float, int, int, list[tuple[int, int, int]]]]:
+        k = self.k
         if len(ids) < k or not len(self.hashes):
             return []
         known = np.concatenate([[0], np.cumsum(ids != 0)])
@@ -132,7 +153,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 SCHEMA = "coverage double, matched_words long, item_words long, tiles string"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
     """Pairs of a document and an item that it covers: doc_id, item_id, coverage, matched_words, item_words and
     tiles ("item place:document place:words", counted in words)."""
     spark = docs.sparkSession
@@ -140,7 +161,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     frames = []
     for rows in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Items(rows, min_match))
+        shared = spark.sparkContext.broadcast(Items(rows, min_match, short_items))
         names = pa.schema([(id_col, pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("matched_words", pa.int64()), ("item_words", pa.int64()), ("tiles", pa.string())])
 
         def search(batches, shared=shared, names=names):
@@ -158,13 +179,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     return union_all(frames) if frames else spark.createDataFrame([], f"`{id_col}` long, item_id long, {SCHEMA}")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, text_col: str = "text", short_items: bool = False) -> DataFrame:
     """The rows of `docs` that cover no item."""
     spark, out = docs.sparkSession, docs
     ship(spark)
     (flag,) = fresh(docs, "contaminated")
     for rows in item_blocks(benchmark):
-        hit = _covers(spark.sparkContext.broadcast(Items(rows, min_match)), coverage)
+        hit = _covers(spark.sparkContext.broadcast(Items(rows, min_match, short_items)), coverage)
         out = out.withColumn(flag, hit(F.col(text_col))).filter(~F.col(flag)).select(*docs.columns)
     return out
 

@@ -254,6 +254,20 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_contamination(docs, bench.limit(0)).count() == 0 and decontamination.find_contamination(empty, bench).count() == 0
 
 
+def test_decontamination_of_short_items(spark, tmp_path):
+    import corpus_pipeline
+    from stratum.llm import queries
+
+    items = ["One two three", "solo", "two three", "?!", None, "alpha beta gamma delta epsilon"]
+    texts = ["zero one, TWO three. one two three", "one two four three", "solo", None, "two one three", "x alpha beta gamma delta epsilon two three"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["tiles"]) for r in queries.op8_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): (1.0, "0:1:3"), (0, 2): (1.0, "0:2:2"), (2, 1): (1.0, "0:0:1"), (5, 5): (1.0, "0:1:5"), (5, 2): (1.0, "0:6:2")}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == [1, 3, 4]
+
+
 def test_lm_scores(docs, rows, empty, monkeypatch):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     counts = collections.Counter()
