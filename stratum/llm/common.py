@@ -1,60 +1,60 @@
-"""Helpers shared by the operators: scratch tables, fresh column names, skew-proof group joins."""
+"""Helpers shared by the operators: fresh column names, skew-proof group joins, the memory and code of workers."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete, local_path, scratch, scratch_path, scratch_root, settled, stored  # noqa: F401
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bound on the number of groups that `attach_groups` ever broadcasts.
 MAX_HEAVY_GROUPS = 50_000
 
-_own_root: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (`spark.checkpoint.dir`); a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="stratum-"))
-        atexit.register(shutil.rmtree, _own_root[0], True)
-    return "file://" + _own_root[0]
-
+_held: dict[str, Callable[[], None]] = {}
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Called in a worker by an operator that remembers things between tasks: what other operators remember there is
+    dropped, and freed memory goes back to the system."""
+    others = [k for k in _held if k != name]
+    for k in others:
+        _held.pop(k)()
+    _held[name] = drop
+    if others:
+        release()
 
-def local_path(uri: str) -> str | None:
-    """The plain path of a file: URI or of a path without a scheme, else None."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if uri.startswith("/") else None
 
+def release() -> None:
+    """Give freed memory of this worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
-def make_dirs(path: str) -> None:
-    os.makedirs(path, exist_ok=True)
 
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """`df` written as Parquet into the shared folder and read back: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def byte_slices(lengths: np.ndarray, rows: int, size: int):
+    """(first, end) of runs of at most `rows` texts and, but for a single one, `size` bytes."""
+    ends, a = np.cumsum(lengths, dtype=np.int64), 0
+    while a < len(lengths):
+        most = (ends[a - 1] if a else 0) + size
+        b = min(max(int(np.searchsorted(ends, most, side="right")), a + 1), a + rows)
+        yield a, b
+        a = b
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -108,8 +108,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Bytes of a batch that goes to a Python worker; Spark's own default is eight times that.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+    """Send this package to the Python workers, once per application, and keep their batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
