@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def with_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
     """Row numbers from 0 in a global order, without one task that sees all rows: range partitions, an offset for
@@ -15,7 +17,8 @@ def with_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFr
     spark = df.sparkSession
     keys = [*order, *[c for c in df.columns if c not in order]]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("part__", F.spark_partition_id()).withColumn("line__", F.monotonically_increasing_id()).persist()
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("part__", F.spark_partition_id()).withColumn("line__", F.monotonically_increasing_id())
+    ranged = stored(ranged, "ranked")
     totals = ranged.groupBy("part__").agg(F.count(F.lit(1)).alias("rows__"))
     before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part__", F.coalesce(F.sum("rows__").over(before), F.lit(0)).alias("offset__"))  # a row per partition
@@ -62,18 +65,73 @@ def selectivity_bounds(df: DataFrame, field: str, selectivities: Sequence[float]
 
 
 def lru_simulation(accesses: DataFrame, trace: str, seq: str, page: str, buffers: Sequence[int], pinned: str | None = None) -> DataFrame:
-    """Hits, misses and evictions of an LRU pool per trace and buffer size. A trace is a sequence, so one task plays
-    it; traces run side by side. `pinned`: a boolean column, true while that access's page may not be evicted until
-    its next unpinned access; a pool whose frames are all pinned is an error."""
+    """Hits, misses and evictions of an LRU pool per trace and buffer size.
+
+    A trace is cut into slices of range partitions, played side by side for all buffer sizes. A pool's content at a
+    slice's border is the last pages touched before it, so each slice tells the last max(buffers) pages that it
+    touched, and a fold over these short lists gives every slice the content that it begins with.
+
+    `pinned`: a boolean column, true while that access's page may not be evicted until its next unpinned access. What a
+    pool holds then depends on all before, so one task plays a trace; a pool whose frames are all pinned is an error."""
+    if pinned:
+        return _pinned_simulation(accesses, trace, seq, page, buffers, pinned)
+    spark, most = accesses.sparkSession, max(buffers)
+    kind, of = accesses.schema[trace].dataType.simpleString(), accesses.schema[page].dataType.simpleString()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = accesses.select(F.col(trace).alias("trace__"), F.col(seq).alias("seq__"), F.col(page).alias("page__"))
+    ranged = stored(narrow.repartitionByRange(n, "trace__", "seq__", "page__").withColumn("slice__", F.spark_partition_id()), "slices")
+    last = ranged.groupBy("trace__", "slice__", "page__").agg(F.max(F.struct("seq__", "page__")).alias("at__"))
+    nth = Window.partitionBy("trace__", "slice__").orderBy(F.desc("at__"))
+    tops = last.withColumn("nth__", F.row_number().over(nth)).filter(F.col("nth__") <= most)
+    tops = tops.groupBy("trace__", "slice__").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth__", "page__"))), lambda x: x["page__"]).alias("top__"))  # max(buffers) pages at most
+
+    def fold(pdf):
+        import pandas as pd
+
+        held: list = []
+        rows = []
+        for slice_, top in pdf.sort_values("slice__")[["slice__", "top__"]].itertuples(index=False):
+            rows.append((pdf["trace__"].iloc[0], slice_, held))
+            own = list(top)
+            held = (own + [p for p in held if p not in set(own)])[:most]
+        return pd.DataFrame(rows, columns=["trace__", "slice__", "held__"])
+
+    starts = tops.groupBy("trace__").applyInPandas(fold, f"trace__ {kind}, slice__ int, held__ array<{of}>")  # short lists, one a slice
+
+    def play(pdf, state):
+        import pandas as pd
+
+        pages, held, rows = pdf.sort_values(["seq__", "page__"], kind="stable")["page__"].tolist(), list(state["held__"].iloc[0]), []
+        for size in buffers:
+            pool = OrderedDict.fromkeys(reversed(held[:size]))
+            hits = 0
+            for p in pages:
+                if p in pool:
+                    hits += 1
+                    pool.move_to_end(p)
+                else:
+                    if len(pool) >= size:
+                        pool.popitem(last=False)
+                    pool[p] = None
+            rows.append((pdf["trace__"].iloc[0], size, hits, len(pages) - hits))
+        return pd.DataFrame(rows, columns=["trace__", "buffer", "hits", "misses"])
+
+    keys = ["trace__", "slice__"]
+    played = ranged.groupBy(keys).cogroup(starts.groupBy(keys)).applyInPandas(play, f"trace__ {kind}, buffer long, hits long, misses long")
+    totals = played.groupBy("trace__", "buffer").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+    pages = last.groupBy("trace__").agg(F.count_distinct("page__").alias("pages__"))
+    return totals.join(pages, "trace__").select(F.col("trace__").alias(trace), "buffer", "hits", "misses", (F.col("misses") - F.least("buffer", "pages__")).alias("evictions"))
+
 
+def _pinned_simulation(accesses: DataFrame, trace: str, seq: str, page: str, buffers: Sequence[int], pinned: str) -> DataFrame:
     def play(pdf):
         import pandas as pd
 
-        pdf, rows = pdf.sort_values(seq, kind="stable"), []
+        pdf, rows = pdf.sort_values([seq, page], kind="stable"), []
         for size in buffers:
             pool: OrderedDict = OrderedDict()
             hits = misses = evictions = 0
-            for p, held in zip(pdf[page], pdf[pinned] if pinned else [False] * len(pdf), strict=True):
+            for p, held in zip(pdf[page], pdf[pinned], strict=True):
                 if p in pool:
                     hits += 1
                     pool.move_to_end(p)
@@ -90,5 +148,4 @@ def lru_simulation(accesses: DataFrame, trace: str, seq: str, page: str, buffers
         return pd.DataFrame(rows, columns=[trace, "buffer", "hits", "misses", "evictions"])
 
     kind = accesses.schema[trace].dataType.simpleString()
-    columns = [trace, seq, page, *([pinned] if pinned else [])]
-    return accesses.select(*columns).groupBy(trace).applyInPandas(play, f"{trace} {kind}, buffer long, hits long, misses long, evictions long")
+    return accesses.select(trace, seq, page, pinned).groupBy(trace).applyInPandas(play, f"{trace} {kind}, buffer long, hits long, misses long, evictions long")

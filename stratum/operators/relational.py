@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import sort_key
+from ..sources.scratch import scratch, stored
 
 #: Name of the stored sort key of an indexed field.
 KEY = "{}__key"
@@ -52,12 +53,9 @@ def project(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 @contextmanager
 def materialized(df: DataFrame) -> Iterator[DataFrame]:
-    """The result kept for several reads and released at the end, also after a failure."""
-    held = df.persist()
-    try:
-        yield held
-    finally:
-        held.unpersist(blocking=True)
+    """The result stored for several reads and removed at the end of the block, also after a failure."""
+    with scratch(df.sparkSession):
+        yield stored(df, "materialized")
 
 
 def equi_join(outer: DataFrame, inner: DataFrame, outer_field: str, inner_field: str, output: Sequence[str]) -> DataFrame:
@@ -85,9 +83,10 @@ def open_index(spark: SparkSession, path: str, field: str) -> DataFrame:
     return df
 
 
-def index_range(index: DataFrame, field: str, start: str, end: str, width: int, ordered: bool = False) -> DataFrame:
-    """The rows that a scan with the same range gives; in key order if asked."""
-    hits = select_range(index, field, start, end, width)
+def index_range(index: DataFrame, field: str, start, end, width: int, ordered: bool = False, order: str = "signed") -> DataFrame:
+    """The rows that a scan with the same range gives; in key order if asked. `order` is that of the index: one in
+    binary order serves numbers and dates too."""
+    hits = select_range(index, field, start, end, width) if order == "signed" else index.filter(F.col(KEY.format(field)).between(start, end))
     hits = hits.orderBy(KEY.format(field)) if ordered else hits
     return hits.drop(KEY.format(field))
 

@@ -6,15 +6,15 @@ import statistics
 import threading
 import time
 import uuid
-from collections import Counter
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import multiset_difference
+from ..sources.sinks import QUERY_PREFIX, RUN_PREFIX, metrics_line
 from ..sources.workload import Workload
 
 Plan = Callable[[str, str], DataFrame]
@@ -29,11 +29,42 @@ def frame_budget(pool: int, concurrent: int) -> int:
     return pool // concurrent
 
 
+@dataclass(frozen=True)
+class IoCounters:
+    """What the tasks of a job group read and wrote, by Spark's own metrics."""
+
+    read_bytes: int = 0
+    read_rows: int = 0
+    written_bytes: int = 0
+    shuffle_read_bytes: int = 0
+    shuffle_written_bytes: int = 0
+    spilled_bytes: int = 0
+
+    @property
+    def total_bytes(self) -> int:
+        return self.read_bytes + self.written_bytes
+
+
+def io_of_group(spark: SparkSession, group: str) -> IoCounters:
+    """Counters of the stages that ran for a job group; skipped stages read nothing."""
+    sc = spark.sparkContext
+    core = sc._jsc.sc()
+    core.listenerBus().waitUntilEmpty()
+    tracker, store = sc.statusTracker(), core.statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) if (info := tracker.getJobInfo(j)) for s in info.stageIds}
+    found = []
+    for s in sorted(stages):
+        data = store.lastStageAttempt(s)
+        found.append((data.inputBytes(), data.inputRecords(), data.outputBytes(), data.shuffleReadBytes(), data.shuffleWriteBytes(), data.diskBytesSpilled()))
+    return IoCounters(*map(sum, zip(*found, strict=True))) if found else IoCounters()
+
+
 @dataclass(frozen=True)
 class Outcome:
     rows: int
     wait_ns: int
     run_ns: int
+    io: IoCounters = IoCounters()
 
     @property
     def latency_ns(self) -> int:
@@ -53,14 +84,16 @@ class AdmissionEngine:
         with self._permits:
             began = time.perf_counter_ns()
             sc = self.spark.sparkContext
-            sc.setJobGroup(f"query-{uuid.uuid4().hex[:8]}", "admitted query", interruptOnCancel=True)
+            group = f"query-{uuid.uuid4().hex[:8]}"
+            sc.setJobGroup(group, "admitted query", interruptOnCancel=True)
             sc.setLocalProperty("spark.scheduler.pool", threading.current_thread().name)
             try:
                 rows = use(plan())
             finally:
                 sc.setLocalProperty("spark.scheduler.pool", None)
                 sc.setLocalProperty("spark.jobGroup.id", None)
-            return Outcome(rows, began - asked, time.perf_counter_ns() - began)
+            spent = time.perf_counter_ns() - began
+            return Outcome(rows, began - asked, spent, io_of_group(self.spark, group))
 
 
 @dataclass(frozen=True)
@@ -87,29 +120,56 @@ class QueryRecord:
     wait_ns: int
     run_ns: int
     error: str = ""
+    task: int = 0
+    read_bytes: int = 0
+    written_bytes: int = 0
 
 
 @dataclass(frozen=True)
 class RunSummary:
+    """Records of a benchmark, and what it left behind: cached tables and scratch folders."""
+
     records: tuple[QueryRecord, ...]
     makespans_ns: tuple[int, ...]
+    config: Config | None = None
+    workloads: int = 0
+    residual_tables: int = 0
+
+    @property
+    def mismatches(self) -> int:
+        return sum(r.status == MISMATCH for r in self.records)
 
     @property
     def success(self) -> bool:
-        return all(r.status == OK for r in self.records)
+        return all(r.status == OK for r in self.records) and not self.residual_tables
+
+    def lines(self) -> list[str]:
+        """A line per measured query and one for the run, of key=value pairs."""
+        own = [r for r in self.records if not r.warmup]
+        out = [metrics_line(QUERY_PREFIX, task_id=r.task, workload=r.workload, repetition=r.repetition, status_code=r.status, result_count=r.rows, client_latency_ns=r.wait_ns + r.run_ns, admission_wait_ns=r.wait_ns, execution_ns=r.run_ns) for r in own]
+        c, good = self.config, sum(r.status == OK for r in own)
+        settings = {"buffer_size": c.pool, "max_concurrent": c.concurrent, "clients": c.clients, "frame_budget": frame_budget(c.pool, c.concurrent), "warmups": c.warmups, "repetitions": c.repetitions} if c else {}
+        spans = ",".join(map(str, self.makespans_ns))
+        return [*out, metrics_line(RUN_PREFIX, **settings, workloads=self.workloads, queries=len(own), successful=good, failed=len(own) - good, makespans_ns=spans, read_bytes=sum(r.read_bytes for r in own), written_bytes=sum(r.written_bytes for r in own), result_mismatches=self.mismatches, residual_tables=self.residual_tables)]
+
+
+def cached_tables(spark: SparkSession) -> int:
+    return spark.sparkContext._jsc.getPersistentRDDs().size()
 
 
 def benchmark(spark: SparkSession, plan: Plan, workloads: Sequence[Workload], config: Config) -> RunSummary:
     """Sequential baselines, checked warm-ups, then repetitions, each a batch that is drained before the next.
     Clients take every `clients`-th task. A baseline without rows is an error."""
+    before = cached_tables(spark)
     baselines = {w.name: plan(w.start, w.end).persist() for w in workloads}
+    records, spans = [], []
     try:
         for name, df in baselines.items():
             if df.isEmpty():
                 raise ValueError(f"workload {name} has no rows")
         engine = AdmissionEngine(spark, config.pool, config.concurrent)
 
-        def one(w: Workload, repetition: int, warmup: bool) -> QueryRecord:
+        def one(task: int, w: Workload, repetition: int, warmup: bool) -> QueryRecord:
             same = True
 
             def use(df: DataFrame) -> int:
@@ -119,20 +179,20 @@ def benchmark(spark: SparkSession, plan: Plan, workloads: Sequence[Workload], co
                     same = sum(multiset_difference(held, baselines[w.name]).first()) == 0
                     return held.count()
                 finally:
-                    held.unpersist()
+                    held.unpersist(blocking=True)
 
             try:
                 o = engine.run(lambda: plan(w.start, w.end), use)
             except Exception as e:  # recorded: a benchmark goes on after a failed query
-                return QueryRecord(w.name, repetition, warmup, FAILED, 0, 0, 0, str(e)[:500])
-            return QueryRecord(w.name, repetition, warmup, OK if same else MISMATCH, o.rows, o.wait_ns, o.run_ns)
+                return QueryRecord(w.name, repetition, warmup, FAILED, 0, 0, 0, str(e)[:500], task)
+            return QueryRecord(w.name, repetition, warmup, OK if same else MISMATCH, o.rows, o.wait_ns, o.run_ns, "" if same else "the rows differ from the baseline's", task, o.io.read_bytes, o.io.written_bytes)
 
         def batch(repetition: int, warmup: bool) -> tuple[list[QueryRecord], int]:
             start = threading.Event()
 
             def client(k: int) -> list[QueryRecord]:
                 start.wait()
-                return [one(w, repetition, warmup) for w in workloads[k :: config.clients]]
+                return [one(t, w, repetition, warmup) for t, w in list(enumerate(workloads))[k :: config.clients]]
 
             with ThreadPoolExecutor(config.clients) as pool:
                 waiting = [pool.submit(client, k) for k in range(config.clients)]
@@ -141,17 +201,16 @@ def benchmark(spark: SparkSession, plan: Plan, workloads: Sequence[Workload], co
                 records = [r for f in waiting for r in f.result()]
             return records, time.perf_counter_ns() - began
 
-        records, spans = [], []
         for k in range(config.warmups):
             records += batch(k, True)[0]
         for k in range(config.repetitions):
             done, span = batch(k, False)
             records += done
             spans.append(span)
-        return RunSummary(tuple(records), tuple(spans))
     finally:
         for df in baselines.values():
-            df.unpersist()
+            df.unpersist(blocking=True)
+    return RunSummary(tuple(records), tuple(spans), config, len(workloads), max(0, cached_tables(spark) - before))
 
 
 def nearest_rank(values: Sequence[float], share: float) -> float | None:
@@ -197,14 +256,24 @@ def latest_run(df: DataFrame, run: str = "run_id", status: str = "status", warmu
 
 
 def host_usage(samples: DataFrame, host: str, at: str, busy: str, total: str) -> DataFrame:
-    """Least, greatest and mean CPU use per host from successive samples of running counters, in percent."""
-    from pyspark.sql import Window
-
+    """Least, greatest and mean CPU use per host from successive samples of running counters, in percent. A pair of
+    samples counts if time went on between them and neither lacks a counter; samples without one are passed over."""
     w = Window.partitionBy(host).orderBy(at)
-    spent = (F.col(busy) - F.lag(busy).over(w)) / (F.col(total) - F.lag(total).over(w)) * 100
-    use = samples.select(host, F.greatest(F.lit(0.0), F.least(F.lit(100.0), spent)).alias("cpu"), F.lag(busy).over(w).isNotNull().alias("has"))
-    return use.filter("has").groupBy(host).agg(F.round(F.min("cpu"), 6).alias("least"), F.round(F.max("cpu"), 6).alias("most"), F.round(F.avg("cpu"), 6).alias("mean"), F.count("cpu").alias("samples"))
+    whole = samples.filter(F.col(busy).isNotNull() & F.col(total).isNotNull())
+    more, spent = F.col(total) - F.lag(total).over(w), F.col(busy) - F.lag(busy).over(w)
+    use = whole.select(host, more.alias("more"), spent.alias("spent")).filter("more > 0")
+    cpu = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("spent") / F.col("more") * 100))
+    return use.select(host, cpu.alias("cpu")).groupBy(host).agg(F.round(F.min("cpu"), 6).alias("least"), F.round(F.max("cpu"), 6).alias("most"), F.round(F.avg("cpu"), 6).alias("mean"), F.count("cpu").alias("samples"))
+
+
+def host_memory(samples: DataFrame, host: str, available: str, swap: str, load: str) -> DataFrame:
+    """Least and mean available memory, most swap used and highest load per host; a missing value is passed over, and
+    how many samples had any is told."""
+    some = F.count_if(F.coalesce(available, swap, load).isNotNull())
+    return samples.groupBy(host).agg(F.min(available).alias("available_least"), F.round(F.avg(available), 6).alias("available_mean"), F.max(swap).alias("swap_most"), F.max(load).alias("load_most"), F.count(F.lit(1)).alias("attempted"), some.alias("successful"))
 
 
-def same_rows(a: Sequence, b: Sequence) -> bool:
-    return Counter(map(tuple, a)) == Counter(map(tuple, b))
+def process_peaks(samples: DataFrame, process: str, resident: str, minor: str, major: str) -> DataFrame:
+    """Greatest resident size and fault counts per process; a sample is whole if it has them all."""
+    whole = F.col(resident).isNotNull() & F.col(minor).isNotNull() & F.col(major).isNotNull()
+    return samples.groupBy(process).agg(F.max(resident).alias("resident_most"), F.max(minor).alias("minor_faults"), F.max(major).alias("major_faults"), F.count(F.lit(1)).alias("attempted"), F.count_if(whole).alias("successful"), F.count_if(~whole).alias("failed"))

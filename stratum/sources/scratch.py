@@ -62,6 +62,13 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a folder of the store; `new` must not be there."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new)]
+    if not paths[0].getFileSystem(spark._jsc.hadoopConfiguration()).rename(*paths):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
 def _at_exit(spark: SparkSession, path: str) -> None:
     with suppress(Exception):  # the session may be gone
         delete(spark, path)

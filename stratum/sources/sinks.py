@@ -6,12 +6,16 @@ import csv
 import json
 import os
 import re
+import shutil
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-PREFIX = "STRATUM_METRICS"
+from .scratch import delete, move
+
+PREFIX, QUERY_PREFIX, RUN_PREFIX = "STRATUM_METRICS", "STRATUM_ENGINE_QUERY", "STRATUM_ENGINE_RUN"
 
 
 def result_lines(df: DataFrame, quoted: bool = False) -> DataFrame:
@@ -22,17 +26,43 @@ def result_lines(df: DataFrame, quoted: bool = False) -> DataFrame:
     return df.select(F.concat_ws(",", *cells).alias("line"))
 
 
-def write_results(df: DataFrame, path: str, quoted: bool = False) -> int:
-    """Overwrite `path` with the result lines; returns how many."""
-    result_lines(df, quoted).write.mode("overwrite").text(path)
-    return df.sparkSession.read.text(path).count()
+def write_results(df: DataFrame, path: str, quoted: bool = False, single: bool = False) -> int:
+    """Overwrite `path` with the result lines; returns how many, counted as they are written. The result is a folder of
+    parts or, with `single`, one file by one task, for results of moderate size."""
+    seen = Observation()
+    lines = result_lines(df, quoted).observe(seen, F.count(F.lit(1)).alias("rows"))
+    if not single:
+        lines.write.mode("overwrite").text(path)
+        return seen.get["rows"]
+    folder = f"{path}.{uuid.uuid4().hex[:8]}"
+    try:
+        lines.coalesce(1).write.text(folder)
+        (part,) = [n for n in os.listdir(folder) if n.startswith("part-")] or [None]
+        if part is None:
+            open(path, "w").close()
+        else:
+            os.replace(f"{folder}/{part}", path)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return seen.get["rows"]
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A folder of CSV files with a header each, quoted where needed. An old one stays until the new one is whole."""
+    spark, fresh = df.sparkSession, f"{path}.{uuid.uuid4().hex[:8]}"
+    try:
+        df.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(fresh)
+        delete(spark, path)
+        move(spark, fresh, path)
+    finally:
+        delete(spark, fresh)
 
 
 def sorted_rows(df: DataFrame) -> DataFrame:
     return df.orderBy(*df.columns)
 
 
-def metrics_line(prefix: str = PREFIX, **values: int) -> str:
+def metrics_line(prefix: str = PREFIX, /, **values: object) -> str:
     return " ".join([prefix, *(f"{k}={v}" for k, v in values.items())])
 
 
@@ -51,16 +81,22 @@ def metrics_column(line: Column, key: str) -> Column:
 
 
 def append_rows(path: str, rows: Sequence[dict]) -> None:
-    """Append to a CSV log. New columns follow the old ones; the file is then written anew, atomically."""
-    old: list[dict] = []
+    """Append to a CSV log. If rows have columns that the log has not, these follow the old ones and the file is written
+    anew, atomically; else only the rows are written."""
     columns: list[str] = []
     if os.path.exists(path):
         with open(path, newline="", encoding="utf-8") as f:
-            reader = csv.DictReader(f)
-            old, columns = list(reader), list(reader.fieldnames or [])
-    merged = columns + [k for row in rows for k in row if k not in columns]
-    merged = list(dict.fromkeys(merged))
-    temporary = f"{path}.tmp"
+            columns = next(csv.reader(f), [])
+    merged = list(dict.fromkeys([*columns, *(k for row in rows for k in row)]))
+    if columns and merged == columns:
+        with open(path, "a", newline="", encoding="utf-8") as f:
+            csv.DictWriter(f, columns, restval="").writerows(rows)
+        return
+    old: list[dict] = []
+    if columns:
+        with open(path, newline="", encoding="utf-8") as f:
+            old = list(csv.DictReader(f))
+    temporary = f"{path}.{uuid.uuid4().hex[:8]}"
     with open(temporary, "w", newline="", encoding="utf-8") as f:
         writer = csv.DictWriter(f, merged, restval="")
         writer.writeheader()

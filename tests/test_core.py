@@ -1,17 +1,22 @@
+import gzip
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from stratum import cli
+from stratum.functions import codec
 from stratum.functions.codec import fits_width, from_fixed, sort_key, to_fixed
 from stratum.operators import layout
 from stratum.operators import relational as R
 from stratum.plans import engine as E
+from stratum.plans import processes
 from stratum.plans import trace as T
 from stratum.plans.credits import credits_in_range
 from stratum.schema import MOVIES, PEOPLE, WORKEDON, Relation
-from stratum.sources import delimited, sinks, workload
+from stratum.sources import delimited, scratch, sinks, workload
 from stratum.sources.catalog import Catalog
 
 
@@ -192,22 +197,279 @@ def test_layout(spark):
     assert tuple(layout.lru_simulation(access, "trace", "seq", "page", [2]).first()) == ("x", 2, 2, 4, 2)
 
 
-def test_traces(spark, tables):
+def mini_trace(spark):
+    """A pool of two frames: load A, load B, hit A, then a miss of C that evicts B; one result."""
+    page = lambda k: {"fileId": "t.csv", "pageId": k}
+    frame = lambda k, **more: {"frameId": k, "pinCount": 1, "dirty": False, **more}
+    events = [
+        {"type": "operator.open", "operatorId": "scan"},
+        {"type": "buffer.miss", "operatorId": "scan", "page": page(0)},
+        {"type": "buffer.page_load", "operatorId": "scan", "page": page(0), "frame": frame(0)},
+        {"type": "buffer.miss", "operatorId": "scan", "page": page(1)},
+        {"type": "buffer.page_load", "operatorId": "scan", "page": page(1), "frame": frame(1)},
+        {"type": "buffer.hit", "operatorId": "scan", "page": page(0), "frame": {"frameId": 0}},
+        {"type": "buffer.miss", "operatorId": "scan", "page": page(2)},
+        {"type": "buffer.evict", "operatorId": "scan", "frame": {"frameId": 1, "evictedPage": page(1)}},
+        {"type": "buffer.page_load", "operatorId": "scan", "page": page(2), "frame": frame(1)},
+        {"type": "query.result", "operatorId": "project", "result": {"ordinal": 0, "fields": {"title": "Pinned", "name": "Ada Pageman"}}},
+    ]
+    rows = [json.dumps({"trace": "mini", "seq": k, "timeMs": k, **e}) for k, e in enumerate(events)]
+    return spark.read.schema(T.EVENT_SCHEMA).json(spark.sparkContext.parallelize(rows))
+
+
+def test_replay(spark):
+    events = mini_trace(spark)
+    assert T.valid_events(events).count() == 10
+    frames = lambda c: {r["frameId"]: r["pageId"] for r in T.replay_frames(events, c).collect()}
+    counts = lambda c: T.replay_counters(events, c).first().asDict()
+    assert frames(0) == {} and counts(0)["pagesRead"] == 0 and T.replay_results(events, 0).count() == 0
+    assert frames(4) == {0: 0, 1: 1} and counts(4)["touchedFrameId"] == 1
+    assert counts(5)["bufferHits"] == 1 and counts(5)["touchedFrameId"] == 0
+    assert frames(7) == {0: 0} and counts(7)["evictingFrameId"] == 1 and counts(7)["evictions"] == 1
+    assert frames(8) == {0: 0, 1: 2}
+    last = counts(9999)
+    assert last == counts(9) == counts(None) and last["seq"] == 9 and last["activeOperatorId"] == "project"
+    assert [last[k] for k in ("pagesRead", "bufferHits", "bufferMisses", "evictions", "recordsEmitted", "btreeNodeVisits")] == [3, 1, 3, 1, 1, 0]
+    assert [tuple(r)[2:] for r in T.replay_results(events).collect()] == [("Pinned", "Ada Pageman")]
+
+
+def test_invalid_events_are_told(spark):
+    good = {"trace": "t", "seq": 0, "timeMs": 0, "type": "buffer.hit"}
+    bad = [{"type": "buffer.load"}, {"seq": -1}, {"timeMs": -1}, {"type": None}, {"page": {"fileId": " ", "pageId": 0}}, {"page": {"fileId": "f", "pageId": -1}}, {"frame": {"frameId": -1}}, {"frame": {"frameId": 0, "pinCount": -1}}, {"join": {"side": "OUTER"}}, {"join": {"matches": -1}}, {"btree": {"nodeType": "ROOT"}}, {"result": {"ordinal": -1, "fields": {}}}]
+    events = spark.read.schema(T.EVENT_SCHEMA).json(spark.sparkContext.parallelize([json.dumps(good | b) for b in [*bad, {}, {"join": {"side": "LEFT"}}]]))
+    assert T.valid_events(events).count() == 2
+
+
+def test_trace_documents(spark, tables):
     run = T.TraceRun("r", "a", "b", 3)
     plan = T.credits_plan("a", "b", "director", False)
-    trace = T.trace_query(credits_in_range(*tables, "carmencita", "carmencita-0003"), run, plan, {"movies": 401})
-    assert trace.summary.rows == 5 and T.QueryTrace.from_json(trace.to_json()) == trace
-    for bad in (lambda: T.TraceRun(" ", "a", "b", 3), lambda: T.TraceSummary(hits=-1), lambda: T.PlanNode("n", None, "SORT", ""), lambda: T.QueryTrace(run, T.TraceSummary(), plan, schema_version=2)):
+    tables_of = {"Movies": T.TraceTable("movies", 492, 401), "People": T.TraceTable("people", 115)}
+    trace, events = T.trace_query(credits_in_range(*tables, "carmencita", "carmencita-0003"), run, plan, tables_of)
+    assert trace.summary.recordsEmitted == 5 and T.valid_events(events).count() == events.count() == 7
+    assert [r["seq"] for r in events.orderBy("seq").collect()] == list(range(7))
+    whole = T.with_events(trace, events)
+    assert T.QueryTrace.from_json(whole.to_json()) == whole
+    d = json.loads(whole.to_json())
+    assert set(d) == {"schemaVersion", "run", "summary", "plan", "tables", "events"}
+    assert set(d["run"]) == {"id", "command", "startedAt", "range", "bufferSize", "indexed", "wallClockMs"} and d["run"]["command"] == "run_query"
+    assert d["tables"]["Movies"] == {"fileId": "movies", "recordSize": 492, "recordCount": 401}
+    assert d["plan"]["id"] == "root" and d["plan"]["children"][0]["children"][0]["children"][1]["type"] == "MATERIALIZE"
+    assert [e["type"] for e in d["events"]] == ["operator.open", *["query.result"] * 5, "query.complete"]
+    assert len(T.EVENT_TYPES) == len(set(T.EVENT_TYPES)) == 27
+    wrong = (
+        lambda: T.TraceRun(" ", "a", "b", 3), lambda: T.TraceRun("r", "a", "b", 0), lambda: T.TraceRun("r", "a", "b", 1, wall_clock_ms=-1), lambda: T.TraceRun("r", "a", "b", 1, started_at="noon"),
+        lambda: T.TraceSummary(bufferHits=-1), lambda: T.PlanNode("n", "SORT", "x"), lambda: T.PlanNode("n", "SCAN", " "), lambda: T.TraceTable("", 3), lambda: T.TraceTable("f", 0), lambda: T.TraceTable("f", 1, -1),
+        lambda: T.QueryTrace(run, T.TraceSummary(), plan, schema_version=2), lambda: T.QueryTrace(run, T.TraceSummary(), plan, events=({"seq": 0, "timeMs": 0, "type": "scan.row"},)),
+    )
+    for bad in wrong:
         with pytest.raises(ValueError):
             bad()
-    kinds = [("buffer.load", 0, "A"), ("buffer.load", 1, "B"), ("buffer.hit", 0, "A"), ("buffer.evict", 1, "B"), ("buffer.load", 1, "C")]
-    rows = [json.dumps({"trace": "t", "seq": k, "type": t, "frame": {"frameId": f, "pinned": False}, "page": {"file": p, "pageId": 0}}) for k, (t, f, p) in enumerate(kinds)]
-    events = spark.read.schema(T.EVENT_SCHEMA).json(spark.sparkContext.parallelize(rows))
-    assert T.valid_events(events).count() == 5
-    at = lambda c: {r["frameId"]: r["file"] for r in T.replay_frames(events, c).collect()}
-    assert at(1) == {0: "A", 1: "B"} and at(3) == {0: "A"} and at(99) == {0: "A", 1: "C"}
-    c = T.replay_counters(events, 3).first()
-    assert (c["hits"], c["misses"], c["evictions"]) == (1, 2, 1)
+
+
+def test_lru_simulation_in_slices(spark):
+    rng = random.Random(8)
+    rows = [(t, s, rng.choice("abcdefghij" if rng.random() < 0.7 else "klmnopqrstuvwxyz")) for t in ("x", "y") for s in range(400)]
+    df = spark.createDataFrame(rows, "trace string, seq long, page string")
+    want = {}
+    for t in ("x", "y"):
+        for size in (1, 3, 7, 40):
+            pool, hits, evictions = [], 0, 0
+            for _, _, p in (r for r in rows if r[0] == t):
+                if p in pool:
+                    hits += 1
+                    pool.remove(p)
+                elif len(pool) == size:
+                    pool.pop(0)
+                    evictions += 1
+                pool.append(p)
+            want[(t, size)] = (hits, 400 - hits, evictions)
+    got = {(r["trace"], r["buffer"]): (r["hits"], r["misses"], r["evictions"]) for r in layout.lru_simulation(df, "trace", "seq", "page", [1, 3, 7, 40]).collect()}
+    assert got == want
+    assert layout.lru_simulation(df.limit(0), "trace", "seq", "page", [2]).count() == 0
+    pins = spark.createDataFrame([("x", s, p, True) for s, p in enumerate("abc")], "trace string, seq long, page string, held boolean")
+    with pytest.raises(Exception, match="all frames are pinned"):
+        layout.lru_simulation(pins, "trace", "seq", "page", [2], pinned="held").collect()
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_csv_folders_and_line_numbers(spark, tmp_path, strict):
+    relation = Relation.of("movies", movieId=10, title=10)
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.csv").write_text("movieId,title\ntt1,one\n\ntt2,abcdefghijkl\n", encoding="utf-8")
+    (tmp_path / "m" / "b.csv").write_text("movieId,title\ntt3,three\ntt4,abcdefghijklm\n", encoding="utf-8")
+    loaded = delimited.read_csv(spark, str(tmp_path / "m"), relation, strict)
+    assert sorted(r["movieId"] for r in loaded.rows.collect()) == ([""] if strict else []) + ["tt1", "tt3"]
+    assert sorted((r["path"][-5:], r["line"], r["needed"]) for r in loaded.rejects.collect()) == [("a.csv", 4, 12), ("b.csv", 3, 13)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)  # several splits of a file
+    try:
+        (tmp_path / "long.csv").write_text("movieId,title\n" + "".join(f"tt{k},{'x' * (11 if k % 100 == 7 else 5)}\n" for k in range(1000)))
+        loaded = delimited.read_csv(spark, str(tmp_path / "long.csv"), relation, strict)
+        assert loaded.rows.count() == 990 and sorted(r["line"] for r in loaded.rejects.collect()) == [k + 2 for k in range(7, 1000, 100)]
+        assert len(loaded.report(3)) == 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_wide_and_legacy_rows(spark, tmp_path):
+    wide = Relation.of("movies", movieId=12, title=512, startYear=4, endYear=4, isAdult=1, originalTitle=512, titleType=16, runtimeMinutes=8, genres=64)
+    (tmp_path / "t.csv").write_text(",".join(wide.names) + '\ntt10001000,"Café, Noir",2024,,0,Café Noir,movie,95,"Drama,Noir"\n', encoding="utf-8")
+    (tmp_path / "old.csv").write_text("movieId,title\ntt0000001,Carmencita\n")
+    for strict in (False, True):
+        row = delimited.read_csv(spark, str(tmp_path / "t.csv"), wide, strict).rows.first()
+        assert tuple(row) == ("tt10001000", "Café, Noir", "2024", "", "0", "Café Noir", "movie", "95", "Drama,Noir")
+        assert tuple(delimited.read_csv(spark, str(tmp_path / "old.csv"), wide, strict).rows.first()) == ("tt0000001", "Carmencita", *[""] * 7)
+
+
+def test_logs_and_units(spark, tmp_path):
+    log = str(tmp_path / "log.csv")
+    sinks.append_rows(log, [{"a": 1, "b": 2}])
+    inode = os.stat(log).st_ino
+    sinks.append_rows(log, [{"b": 3}])
+    assert os.stat(log).st_ino == inode and open(log).read().split() == ["a,b", "1,2", ",3"]  # appended in place
+    sinks.append_json(str(tmp_path / "runs.jsonl"), {"run": 1})
+    sinks.append_json(str(tmp_path / "runs.jsonl"), {"run": 2, "é": "ü"})
+    assert [json.loads(x) for x in open(tmp_path / "runs.jsonl")] == [{"run": 1}, {"run": 2, "é": "ü"}]
+    units = spark.createDataFrame([(1_500_000, 3 << 20), (-1, 0)], "ns long, b long").select(codec.nanos_to_millis(F.col("ns")), codec.mebibytes(F.col("b")))
+    assert [tuple(r) for r in units.collect()] == [(1.5, 3.0), (None, 0.0)]
+    df = spark.createDataFrame([("b", "x, y"), ("a", "")], "title string, name string")
+    assert sinks.write_results(df.orderBy("title"), str(tmp_path / "one.csv"), single=True) == 2
+    assert open(tmp_path / "one.csv").read() == "a,\nb,x, y\n"
+    assert sorted(tuple(r) for r in sinks.append_frame(df.select("title"), str(tmp_path / "log")).collect()) == [("a",), ("b",)]
+
+
+def test_engine_failures_and_mismatches(spark, tables, tmp_path):
+    loads = [workload.Workload("a", "carmencita", "carmencita-0009"), workload.Workload("b", "carmencita-0010", "carmencita-0019")]
+    good = lambda a, b: credits_in_range(*tables, a, b)
+    calls = {"n": 0}
+
+    def changing(a, b):
+        calls["n"] += 1
+        df = good(a, b)
+        return df.limit(3) if calls["n"] > 2 else df  # other rows than the baselines'
+
+    summary = E.benchmark(spark, changing, loads, E.Config(18, 2, 2, 1))
+    assert not summary.success and summary.mismatches == 2 and {r.status for r in summary.records} == {E.MISMATCH}
+
+    def failing(a, b):
+        calls["n"] += 1
+        if calls["n"] > 2:
+            raise OSError("the table is gone")
+        return good(a, b)
+
+    calls["n"] = 0
+    summary = E.benchmark(spark, failing, loads, E.Config(18, 2, 2, 1))
+    assert {r.status for r in summary.records} == {E.FAILED} and all("the table is gone" in r.error for r in summary.records)
+    assert summary.residual_tables == 0 and not summary.success and E.summarize(summary)["mean_ms"] is None
+    *queries, last = summary.lines()
+    assert len(queries) == 2 and sinks.parse_metrics(last, sinks.RUN_PREFIX)["failed"] == 2
+    assert sinks.parse_metrics(queries[0].replace("workload=a ", ""), sinks.QUERY_PREFIX)["status_code"] == E.FAILED
+    # a broken file: its own error comes up, nothing stays behind, the engine goes on
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"PAR1 no table PAR1")
+    engine, before = E.AdmissionEngine(spark, 6, 2), E.cached_tables(spark)
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        engine.run(lambda: spark.read.schema("a string").parquet(str(broken)))
+    assert E.cached_tables(spark) == before
+    done = engine.run(lambda: tables[0])
+    assert done.rows == 401
+    tables[0].write.parquet(str(tmp_path / "m"))
+    io = engine.run(lambda: spark.read.parquet(str(tmp_path / "m")), lambda df: len(df.collect())).io
+    assert io.read_rows >= 401 and io.read_bytes > 0 and io.total_bytes == io.read_bytes + io.written_bytes
+
+
+def test_scratch_is_removed(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_root", lambda _: f"file://{tmp_path}/shared")
+    left = lambda: [f for _, _, fs in os.walk(tmp_path) for f in fs]
+    with scratch.scratch(spark):
+        assert scratch.stored(tables[0], "t").count() == 401
+        kept = scratch.settled(spark, "k", lambda: scratch.stored(tables[0], "inner"))
+        assert kept.count() == 401
+    assert not left()
+    with pytest.raises(RuntimeError), scratch.scratch(spark):
+        scratch.stored(tables[0], "t")
+        raise RuntimeError
+    with R.materialized(tables[0]) as held:
+        assert held.count() == held.count() == 401
+    assert not left()
+    import stratum.queries as queries
+
+    for name in ("project_materialized", "record_ids", "flagship_indexed", "lru_simulation", "csv_rejects", "trace_frames"):
+        monkeypatch.setattr(queries, "_indexes", {})
+        with scratch.scratch(spark):
+            queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert not left(), name
+
+
+@pytest.fixture(scope="module")
+def prepared(spark, tmp_path_factory):
+    """Dumps made into CSV folders and tables by the command line."""
+    root = tmp_path_factory.mktemp("cli")
+    (root / "dumps").mkdir()
+    table = lambda name, rows: gzip.open(root / "dumps" / name, "wt", encoding="utf-8").write("".join("\t".join(r) + "\n" for r in rows))
+    table("title.basics.tsv.gz", [("tconst", "titleType", "primaryTitle", "genres"), ("tt0000001", "movie", "Café, Noir", "Drama"), ("tt2", "short", '"Rolling in the Deep Dish', "Comedy"), ("tt3", "tvSeries", "Third", "\\N")])
+    table("title.principals.tsv.gz", [("tconst", "ordering", "nconst", "category"), ("tt0000001", "1", "nm0000001", "director"), ("tt2", "2", "nm2", "writer"), ("tt3", "3", "nm3", "director")])
+    table("name.basics.tsv.gz", [("nconst", "primaryName", "birthYear"), ("nm0000001", "Person One", "1970"), ("nm2", "Person Two", "1980"), ("nm3", "Person Three", "\\N")])
+    assert cli.main(["prepare", "--source-dir", str(root / "dumps"), "--output-dir", str(root / "csv")]) == 0
+    assert cli.main(["pre-process", "--source", str(root / "csv"), "--root", str(root / "tables"), "--strict"]) == 0
+    return root
+
+
+def test_cli_prepares_dumps(spark, prepared):
+    lines = lambda n: sorted(x for f in (prepared / "csv" / n).glob("part-*") for x in f.read_text(encoding="utf-8").splitlines())
+    assert lines("title.csv") == sorted(["movieId,title", 'tt0000001,"Café, Noir"', 'tt2,"""Rolling in the Deep Dish"', "tt3,Third"])
+    assert lines("workedon.csv") == sorted(["movieId,personId,category", "tt0000001,nm0000001,director", "tt2,nm2,writer", "tt3,nm3,director"])
+    before = lines("name.csv")
+    with gzip.open(prepared / "dumps" / "name.basics.tsv.gz", "wt") as f:
+        f.write("nconst\nnm1\n")
+    with pytest.raises(ValueError, match="missing column"):
+        cli.main(["prepare", "--source-dir", str(prepared / "dumps"), "--output-dir", str(prepared / "csv")])
+    assert lines("name.csv") == before == sorted(["personId,name", "nm0000001,Person One", "nm2,Person Two", "nm3,Person Three"])
+
+
+def test_cli_runs_queries(spark, prepared, capsys):
+    root, out = str(prepared / "tables"), str(prepared / "result.csv")
+    for more in ([], ["--index"]):
+        assert cli.main(["run-query", "Café", "Z", "20", "--root", root, "--output", out, "--single-file", "--metrics", *more]) == 0
+        assert sorted(open(out, encoding="utf-8").read().splitlines()) == ["Café, Noir,Person One", "Third,Person Three"]
+        got = sinks.parse_metrics(capsys.readouterr().err.splitlines()[-1])
+        assert got["result_count"] == 2 and got["elapsed_ns"] > 0 and got["heap_pool_peak_sum_bytes"] > 0
+    for bad in (["a", "é" * 242, "20"], ["a", "b", "2"]):
+        with pytest.raises(ValueError):
+            cli.main(["run-query", *bad, "--root", root, "--output", out])
+    for bad in (["a", "b", "x"], ["a", "b", "20", "--nothing"], ["a", "b"], ["a", "b", "20", "--index", "--index"]):
+        with pytest.raises(SystemExit):
+            cli.main(["run-query", *bad, "--output", out])
+    with pytest.raises(SystemExit):
+        cli.main(["nothing"])
+
+
+def test_cli_benchmarks(spark, prepared, capsys):
+    (prepared / "w.csv").write_text("name,start_range,end_range\nall,A,Z\n")
+    base = ["bench", "--root", str(prepared / "tables"), "--workload", str(prepared / "w.csv"), "--output-dir", str(prepared / "bench"), "--buffer-size", "18", "--max-concurrent", "2", "--clients", "2", "--warmups", "1"]
+    assert cli.main([*base, "--repetitions", "2"]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert [x.split()[0] for x in said] == [sinks.QUERY_PREFIX] * 2 + [sinks.RUN_PREFIX]
+    assert "result_mismatches=0" in said[-1] and len(open(prepared / "bench" / "queries.csv").readlines()) == 4
+    assert json.loads(open(prepared / "bench" / "runs.jsonl").read())["ok"] == 2
+    for bad in ([*base, "--repetitions", "2", "--clients", "3"], base):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
+    one = processes.run_process(workload.Workload("all", "A", "Z"), processes.ProcessConfig((1,), 1, 0, 20, str(prepared / "tables")))
+    assert one["status"] == "ok" and one["result_count"] == 2 and one["wall_ms"] > one["query_ms"] > 0
+    lost = processes.run_process(workload.Workload("all", "A", "Z"), processes.ProcessConfig((1,), 1, 0, 20, str(prepared / "none")))
+    assert lost["status"] == "failed" and lost["exit_code"] != 0 and lost["error"]
+    with pytest.raises(ValueError):
+        processes.ProcessConfig((0,), 1, 0, 20, "x")
+
+
+def test_host_memory_and_process_peaks(spark):
+    rows = [("h", 1, 100, 5, 0.5, None), ("h", 2, None, 9, None, 3), ("h", 3, None, None, None, 4)]
+    df = spark.createDataFrame(rows, "host string, at int, available long, swap long, load double, faults long")
+    assert tuple(E.host_memory(df, "host", "available", "swap", "load").first()) == ("h", 100, 100.0, 9, 0.5, 3, 2)
+    assert tuple(E.process_peaks(df, "host", "swap", "faults", "faults").first()) == ("h", 9, 4, 4, 3, 1, 2)
+    still = spark.createDataFrame([("h", 1, 1.0, 5.0), ("h", 2, None, 6.0), ("h", 3, 2.0, 5.0), ("h", 4, 2.5, 7.0)], "h string, t int, b double, n double")
+    assert tuple(E.host_usage(still, "h", "t", "b", "n").first()) == ("h", 25.0, 25.0, 25.0, 1)  # no time went on in one pair
 
 
 def test_entry_without_optional_parts():
