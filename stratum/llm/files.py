@@ -1,16 +1,17 @@
-"""Binary files in the shared folder, written by executors.
+"""Binary files in the shared folder, written and read by executors.
 
-A file becomes visible by one rename, under a name of its own task attempt. Readers take the files that a stored
-manifest names, that is those of the attempts that succeeded; what a lost attempt left is never read.
+A file becomes visible by one rename, under a name of its own task attempt. Readers open the files that a stored
+manifest names, that is those of the attempts that succeeded; what a lost attempt left is never read, and no folder
+is listed.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from .common import local_path
 
@@ -20,19 +21,14 @@ def attempt_name(place: int, nth: int, suffix: str) -> str:
     return f"part-{place:06d}-{nth:05d}-{uuid.uuid4().hex[:8]}.{suffix}"
 
 
-def listed_files(manifest: DataFrame, folder: str, content: bool) -> DataFrame:
-    """path (and content) of the files of `folder` that the manifest (file) names."""
-    files = manifest.sparkSession.read.format("binaryFile").load(folder).select("path", *["content"] * content)
-    return files.join(F.broadcast(manifest.select("file")), F.element_at(F.split("path", "/"), -1) == F.col("file"), "left_semi")  # a name per file of megabytes
-
-
-def write_file(folder: str, name: str, chunks) -> None:
-    """Write the byte strings of `chunks` to `folder`/`name`."""
+@contextmanager
+def new_file(folder: str, name: str) -> Iterator:
+    """A file to write to, seen under its name when the block ends."""
     own = f".{name}.{uuid.uuid4().hex}"
     if (base := local_path(folder)) is not None:
         os.makedirs(base, exist_ok=True)
         with open(f"{base}/{own}", "wb") as f:
-            f.writelines(chunks)
+            yield f
         os.replace(f"{base}/{own}", f"{base}/{name}")
         return
     from pyarrow import fs
@@ -40,6 +36,33 @@ def write_file(folder: str, name: str, chunks) -> None:
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     with store.open_output_stream(f"{base}/{own}") as f:
+        yield f
+    store.move(f"{base}/{own}", f"{base}/{name}")
+
+
+def write_file(folder: str, name: str, chunks) -> None:
+    """Write the byte strings of `chunks` to `folder`/`name`."""
+    with new_file(folder, name) as f:
         for chunk in chunks:
             f.write(chunk)
-    store.move(f"{base}/{own}", f"{base}/{name}")
+
+
+def read_file(path: str):
+    """A file's bytes, mapped where executors share the folder as files."""
+    if (plain := local_path(path)) is not None:
+        with open(plain, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if f.seek(0, 2) else b""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(base) as f:
+        return f.read()
+
+
+def exists(path: str) -> bool:
+    if (plain := local_path(path)) is not None:
+        return os.path.exists(plain)
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path)
+    return store.get_file_info(base).type == fs.FileType.File

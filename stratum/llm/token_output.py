@@ -6,11 +6,12 @@ escape: the next word holds one id raw, for ids of over 60 bits. Selector 1 stan
 every word's id count follows from its selector, a cumulative sum places its ids, and each selector's words
 are unpacked together.
 
-File: magic, counts (documents, ids, block length, blocks, words), validity byte and id of each document,
-token count of each document, word offset of each block, words. All integers are little-endian.
+A file is a run of segments. Segment: magic, counts (documents, ids, block length, blocks, words), validity byte and
+id of each document, token count of each document, word offset of each block, words. All integers are little-endian.
 
-Files hold documents in ascending id order. Writers deal documents out by id range, sort each range and roll
-files at a bounded number of ids; no whole partition is held in memory.
+Files hold documents in ascending id order. Writers deal documents out by id range, sort each range and begin another
+segment, and another file, at a bounded number of ids; no more than a segment is held in memory. Where a file's ids
+begin follows from the files before it: sums within groups of partitions, and sums of the groups.
 
 Defined results: a null or empty text gives the end id alone; null ids come first; rows equal in id stand side
 by side; an empty table gives no files and an empty result; other columns are ignored.
@@ -18,10 +19,12 @@ by side; an empty table gives no files and an empty result; other columns are ig
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship, stored
-from .files import attempt_name, listed_files, write_file
+from .common import byte_slices, hold, scratch_path, ship, stored
+from .files import attempt_name, new_file, read_file
 
 MAGIC = b"S8BIDS01"
 BLOCK = 4096
-#: Ids of a file at most (a document is not split over files), and rows of a range partition aimed at.
-FILE_IDS, PARTITION_ROWS = 2_000_000, 20_000
+#: Ids of a segment and of a file at which another begins, rows of a range partition aimed at, and partitions whose
+#: files are summed together.
+SEGMENT_IDS, FILE_IDS, PARTITION_ROWS, GROUP = 2_000_000, 64_000_000, 100_000, 1024
 #: Texts that are encoded together: rows and bytes at most.
 SLICE_ROWS, SLICE_BYTES = 1_500, 5 << 20
 #: Words a worker remembers the ids of.
@@ -145,12 +149,12 @@ def encode_file(doc_ids: list, counts: list[int] | np.ndarray, ids: np.ndarray)
     ]
 
 
-def decode_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """(document ids, token counts, ids)."""
-    if data[:8] != MAGIC:
+def decode_segment(data, at: int = 0) -> tuple[list, np.ndarray, np.ndarray, int]:
+    """(document ids, token counts, ids) of the segment at `at`, and the offset after it."""
+    if bytes(data[at : at + 8]) != MAGIC:
         raise ValueError("not a token file")
-    docs, n, _, blocks, n_words = struct.unpack_from("<5Q", data, 8)
-    at = 48
+    docs, n, _, blocks, n_words = struct.unpack_from("<5Q", data, at + 8)
+    at += 48
     valid = np.frombuffer(data, np.uint8, docs, at)
     doc_ids = np.frombuffer(data, "<i8", docs, at + docs).tolist()
     counts = np.frombuffer(data, "<u4", docs, at + 9 * docs)
@@ -158,12 +162,12 @@ def decode_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     ids = unpack(np.frombuffer(data, "<u8", n_words, at))
     if len(ids) != n or int(counts.sum(dtype=np.int64)) != n:
         raise ValueError("token file is damaged: the counts differ")
-    return [i if v else None for i, v in zip(doc_ids, valid.tolist(), strict=True)], counts, ids
+    return [i if v else None for i, v in zip(doc_ids, valid.tolist(), strict=True)], counts, ids, at + 8 * n_words
 
 
 # With this library's byte-level pattern a space between texts always starts a token, a newline between texts is
 # one, and so does punctuation after a letter or digit; so words can be encoded alone. Texts with other white
-# space take the whole-text path.
+# space or an added token's string take the whole-text path, and so do all texts of a tokenizer of another kind.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 _FIRST = "\0"  # marks a word with no space before it
 #: Texts that cannot be cut at spaces and newlines: with white space at an end or side by side, other white space, or _FIRST.
@@ -180,8 +184,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.newline = int(np.frombuffer(self._whole(["\n"])[0], "<u4")[0])
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind.get("pre_tokenizer") or {}
+        self.by_words = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.odd = "|".join([_ODD, *(re.escape(t["content"]) for t in kind.get("added_tokens") or ())])
+        self.newline = int(np.frombuffer(self._whole(["\n"])[0], "<u4")[0]) if self.by_words else None
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -249,7 +256,10 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as little-endian uint32, count of each text)."""
         texts = texts.cast(pa.large_string())
-        odd = pc.or_(pc.equal(pc.binary_length(texts), 0), pc.match_substring_regex(texts, _ODD)).to_numpy(zero_copy_only=False)
+        if self.by_words:
+            odd = pc.or_(pc.equal(pc.binary_length(texts), 0), pc.match_substring_regex(texts, self.odd)).to_numpy(zero_copy_only=False)
+        else:
+            odd = np.ones(len(texts), bool)
         ids, counts = np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
         if not odd.all():
             ids, counts[~odd] = self._batch(texts.filter(pa.array(~odd)) if odd.any() else texts)
@@ -271,82 +281,100 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def _slices(lengths: np.ndarray):
-    """(first, end) of runs of at most SLICE_ROWS texts and, but for a single one, SLICE_BYTES bytes."""
-    ends, a = np.cumsum(lengths, dtype=np.int64), 0
-    while a < len(lengths):
-        most = (ends[a - 1] if a else 0) + SLICE_BYTES
-        b = min(max(int(np.searchsorted(ends, most, side="right")), a + 1), a + SLICE_ROWS)
-        yield a, b
-        a = b
+    return byte_slices(lengths, SLICE_ROWS, SLICE_BYTES)
+
+
+_MANIFEST = pa.schema([("place", pa.int64()), ("nth", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text of `docs`, append `end_id` and write the files. Returns the stored manifest: a
-    row per file (file, docs, ids)."""
+    row per file (place, nth, file, docs, ids), in order of place and nth."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
 
-    def write(batches):
-        encoder, place, nth = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        doc_ids, counts, held, total = [], [], [], 0
-
-        def flush():
-            name = attempt_name(place, nth, "s8b")
-            write_file(folder, name, encode_file(doc_ids, np.concatenate(counts), np.concatenate(held)))
-            return pa.RecordBatch.from_pydict({"file": [name], "docs": [len(doc_ids)], "ids": [total]}, schema=pa.schema([("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+    slices, most = (SLICE_ROWS, SLICE_BYTES), (SEGMENT_IDS, FILE_IDS)
 
+    def segments(batches):
+        """(documents, ids, byte strings) of one segment after another."""
+        encoder = word_encoder(tokenizer_path)
+        doc_ids, counts, held, total = [], [], [], 0
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            for a, b in _slices(pc.binary_length(texts).to_numpy()):
+            for a, b in byte_slices(pc.binary_length(texts).to_numpy(), *slices):
                 ids, n = encoder.encode(texts[a:b])
                 ends = np.cumsum(n)
                 ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(n) + 1)
                 names, first, begin = batch.column(0)[a:b].to_pylist(), 0, 0
                 while first < len(n):
-                    # up to the document that fills the file
-                    last = min(int(np.searchsorted(ends, begin + FILE_IDS - total)) + 1, len(n))
+                    # up to the document that fills the segment
+                    last = min(int(np.searchsorted(ends, begin + most[0] - total)) + 1, len(n))
                     doc_ids += names[first:last]
                     counts.append(n[first:last] + 1)
                     held.append(ids[begin : ends[last - 1]])
                     total += int(ends[last - 1]) - begin
                     first, begin = last, int(ends[last - 1])
-                    if total >= FILE_IDS:
-                        yield flush()
-                        doc_ids, counts, held, total, nth = [], [], [], 0, nth + 1
+                    if total >= most[0]:
+                        yield len(doc_ids), total, encode_file(doc_ids, np.concatenate(counts), np.concatenate(held))
+                        doc_ids, counts, held, total = [], [], [], 0
         if doc_ids:
-            yield flush()
+            yield len(doc_ids), total, encode_file(doc_ids, np.concatenate(counts), np.concatenate(held))
+
+    def write(batches):
+        hold("tokens", word_encoder.cache_clear)
+        place, nth, coming = TaskContext.get().partitionId(), 0, segments(batches)
+        while (segment := next(coming, None)) is not None:
+            name, n_docs, n_ids = attempt_name(place, nth, "s8b"), 0, 0
+            with new_file(folder, name) as f:
+                while segment is not None:
+                    f.writelines(segment[2])
+                    n_docs, n_ids = n_docs + segment[0], n_ids + segment[1]
+                    segment = next(coming, None) if n_ids < most[1] else None
+            yield pa.RecordBatch.from_pylist([{"place": place, "nth": nth, "file": name, "docs": n_docs, "ids": n_ids}], schema=_MANIFEST)
+            nth += 1
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ranged = narrow.repartitionByRange(parts, "id").sortWithinPartitions("id")
-    return stored(ranged.mapInArrow(write, "file string, docs long, ids long"), "manifest")
+    return stored(ranged.mapInArrow(write, "place long, nth long, file string, docs long, ids long"), "manifest")
+
+
+def _starts(manifest: DataFrame) -> DataFrame:
+    """file and the number of ids before it. Groups of GROUP partitions are summed side by side; only their totals, a
+    row for GROUP partitions, meet in one task."""
+    grouped = manifest.withColumn("grp", F.expr(f"place div {GROUP}"))
+    before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = grouped.groupBy("grp").agg(F.sum("ids").alias("all")).select("grp", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("grp").orderBy("place", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    return grouped.withColumn("inside", F.coalesce(F.sum("ids").over(inside), F.lit(0))).join(ahead, "grp").select("file", (F.col("ahead") + F.col("inside")).alias("before"))
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """Of each document, read from the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (little-endian
     unsigned 32-bit integers)."""
     ship(spark)
-    schema = f"doc_id long, ahead long, n_tokens long, ids_crc32 long, {'ids binary, ' * with_ids}file string"
+    schema = f"doc_id long, start long, n_tokens long, ids_crc32 long{', ids binary' * with_ids}"
 
     def read(batches):
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc_ids, counts, ids = decode_file(data.as_py())
-                flat, name = ids.astype("<u4"), path.rpartition("/")[2]
-                ends = np.cumsum(counts, dtype=np.int64)
-                starts = ends - counts
-                for a in range(0, len(doc_ids), 2000):
-                    cut = [flat[s:e] for s, e in zip(starts[a : a + 2000].tolist(), ends[a : a + 2000].tolist(), strict=True)]
-                    row = {"doc_id": pa.array(doc_ids[a : a + 2000], pa.int64()), "ahead": starts[a : a + 2000], "n_tokens": counts[a : a + 2000].astype(np.int64), "ids_crc32": pa.array(map(zlib.crc32, cut), pa.int64())}
-                    if with_ids:
-                        row["ids"] = pa.array([x.tobytes() for x in cut], pa.binary())
-                    yield pa.RecordBatch.from_pydict(row | {"file": list(repeat(name, len(cut)))})
-
-    files = listed_files(manifest, folder, True)
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))  # a row per file of millions of ids
-    return files.mapInArrow(read, schema).join(offsets, "file").withColumn("start", F.col("before") + F.col("ahead")).select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, at = read_file(f"{folder}/{name}"), 0
+                while at < len(data):
+                    doc_ids, counts, ids, at = decode_segment(data, at)
+                    flat = ids.astype("<u4")
+                    ends = np.cumsum(counts, dtype=np.int64)
+                    starts = ends - counts
+                    for a in range(0, len(doc_ids), 2000):
+                        cut = [flat[s:e] for s, e in zip(starts[a : a + 2000].tolist(), ends[a : a + 2000].tolist(), strict=True)]
+                        row = {"doc_id": pa.array(doc_ids[a : a + 2000], pa.int64()), "start": before + starts[a : a + 2000], "n_tokens": counts[a : a + 2000].astype(np.int64), "ids_crc32": pa.array(map(zlib.crc32, cut), pa.int64())}
+                        if with_ids:
+                            row["ids"] = pa.array([x.tobytes() for x in cut], pa.binary())
+                        yield pa.RecordBatch.from_pydict(row)
+                    before += len(ids)
+
+    files = manifest.count()  # a task for each, but for very many
+    return _starts(manifest).repartition(max(1, min(files, 10_000)), "file").mapInArrow(read, schema)
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
