@@ -19,20 +19,20 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import mmap
 import re
 import uuid
+import warnings
 import zlib
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import attach_groups, local_path, scratch_path, ship, stored
 from .exact_dedup import RepeatFilter
-from .files import attempt_name, listed_files, write_file
+from .files import attempt_name, exists, read_file, write_file
 
 #: Bytes of a file at which the writer starts another; payloads below REVISIT_BYTES are always responses.
 FILE_BYTES, REVISIT_BYTES, DATE = 16 << 20, 100, "2024-01-01T00:00:00Z"
@@ -45,9 +45,9 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """An uncompressed record."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def make_record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, refers_to: int | None, revisit: bool, size: int | None = None) -> bytes:
+    """An uncompressed record. A revisit needs only the payload's `size`."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if payload is not None else size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
@@ -210,8 +210,7 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
                 if has_content:
                     source = batch.column("content")[k].as_py()
                 else:
-                    with open(local_path(path), "rb") as f:
-                        source = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if f.seek(0, 2) else b""
+                    source = read_file(path)
                 for row in rows_of(path, source):
                     held.append(row)
                     count += row[3] is None
@@ -233,31 +232,44 @@ def read_folder(spark: SparkSession, folder: str, with_payload: bool = False) ->
     return read_archives(files.select("path") if local_path(folder) else files.select("path", "content"), with_payload)
 
 
+def _tied(large: DataFrame, groups: DataFrame, tied: DataFrame, total: int) -> DataFrame:
+    """Rows whose id is the first of their payload, where several rows are: one response with the payload, which is
+    combined before it shuffles, and the others as revisits, which are counted and need no payload."""
+    met = attach_groups(large.join(tied, "digest", "left_semi"), groups, "digest", "members", total).filter(F.col("id").eqNullSafe(F.col("first.id")))
+    url = F.struct(F.col("url").isNull().alias("none"), "url")
+    one = met.groupBy("digest", "id").agg(F.min(url).alias("u"), F.first("payload").alias("payload"), F.first("size").alias("size"))
+    responses = one.select("id", F.col("u.url").alias("url"), "payload", "size", "digest", F.col("id").alias("refers_to"), F.lit(False).alias("revisit"))
+    counted = stored(met.groupBy("digest", "id", "url", "size", F.spark_partition_id().alias("place")).agg(F.count(F.lit(1)).alias("n")), "tied")
+    least = counted.groupBy("digest").agg(F.min(F.struct(F.col("url").isNull().alias("none"), "url", "place")).alias("least"), F.count(F.lit(1)).alias("members"))
+    own = F.struct(F.col("url").isNull().alias("none"), "url", "place").eqNullSafe(F.col("least"))
+    again = attach_groups(counted, least, "digest", "members", total).withColumn("n", F.col("n") - own.cast("int")).filter("n > 0")
+    again = again.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    revisits = again.select("id", "url", F.lit(None).cast("binary").alias("payload"), "size", "digest", F.col("id").alias("refers_to"), F.lit(True).alias("revisit"))
+    return responses.unionByName(revisits)
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """Write a record per row of `pages`; returns the stored manifest (file, records)."""
     spark = pages.sparkSession
     ship(spark)
     html = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     narrow = stored(rows.filter(F.octet_length("payload") >= REVISIT_BYTES).select("id", "digest"), "digests")
     total = narrow.count()
     repeats = RepeatFilter(narrow, "digest", total)
     unique, several = repeats.split(rows, "digest")
     order = F.struct(F.col("id").isNull().alias("none"), "id")
-    groups = repeats.split(narrow, "digest")[1].groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
+    groups = repeats.split(narrow, "digest")[1].groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members"))
     groups = stored(groups, "groups")
-    kept = several.filter(F.octet_length("payload") < REVISIT_BYTES)
-    met = attach_groups(several.filter(F.octet_length("payload") >= REVISIT_BYTES), groups, "digest", "size", total)
+    base = ["id", "url", "payload", "size", "digest"]
+    large = several.filter(F.col("size") >= REVISIT_BYTES)
+    plain = unique.unionByName(several.filter(F.col("size") < REVISIT_BYTES)).select(*base, F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
     is_first = F.col("id").eqNullSafe(F.col("first.id"))
-    # Rows equal in id and payload: their digests, so that one of them is the response.
     tied = stored(repeats.split(narrow, "digest")[1].groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest").distinct(), "ties")
-    base = ["id", "url", "payload", "digest"]
-    plain = unique.unionByName(kept).select(*base, F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
-    marked = met.select(*base, F.col("first.id").alias("refers_to"), (~is_first).alias("revisit"), is_first.alias("is_first"))
-    again = marked.filter("is_first").join(tied, "digest", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
-    rest = marked.filter("not is_first").unionByName(marked.filter("is_first").join(tied, "digest", "left_anti")).drop("is_first")
-    every = plain.unionByName(rest).unionByName(again.withColumn("revisit", nth > 1).drop("is_first"))
+    marked = attach_groups(large, groups, "digest", "members", total).select(*base, F.col("first.id").alias("refers_to"), is_first.alias("is_first"))
+    rest = marked.filter("not is_first").unionByName(marked.filter("is_first").join(tied, "digest", "left_anti"))
+    rest = rest.withColumn("payload", F.when(F.col("is_first"), F.col("payload"))).withColumn("revisit", ~F.col("is_first")).drop("is_first")
+    every = plain.unionByName(rest).unionByName(_tied(large, groups, tied, total))
 
     def write(batches):
         place, nth, held, size, count, out = TaskContext.get().partitionId(), 0, [], 0, 0, []
@@ -268,8 +280,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.append((name, count))
 
         for batch in batches:
-            for i, url, payload, digest, refers_to, revisit in zip(*(c for c in batch.columns), strict=True):
-                made = member(make_record(i.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers_to.as_py(), revisit.as_py()))
+            for row in zip(*(c for c in batch.columns), strict=True):
+                made = member(make_record(*(x.as_py() for x in row)))
                 held.append(made)
                 size, count = size + len(made), count + 1
                 if size >= FILE_BYTES:
@@ -279,7 +291,28 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             flush()
         yield pa.RecordBatch.from_pydict({"file": pa.array([n for n, _ in out], pa.string()), "records": pa.array([c for _, c in out], pa.int64())})
 
-    return stored(every.select("id", "url", "payload", "digest", "refers_to", "revisit").mapInArrow(write, "file string, records long"), "manifest")
+    return stored(every.select("id", "url", "payload", "digest", "refers_to", "revisit", "size").mapInArrow(write, "file string, records long"), "manifest")
+
+
+def quarantined(read: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """(records, gaps, where they are): what `read_archives` gave, in one pass written apart under `path`, by default in
+    the shared folder. The gaps - file, start, end, reason - are the log of what could not be read."""
+    spark = read.sparkSession
+    place = path or scratch_path(spark, "records")
+    read.withColumn("quarantine", F.col("gap").isNotNull()).write.partitionBy("quarantine").parquet(place)
+    every = spark.read.schema(read.withColumn("quarantine", F.lit(True)).schema).parquet(place)
+    records = every.filter(~F.col("quarantine")).drop("quarantine", "gap")
+    return records, every.filter("quarantine").select("file", "start", "end", "gap"), place
+
+
+def _present(files: DataFrame) -> DataFrame:
+    """The files (path, ...) that are there."""
+
+    def look(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([exists(p) for p in batch.column(0).to_pylist()], pa.bool_()))
+
+    return files.mapInArrow(look, files.schema)
 
 
 def archive_digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
@@ -290,9 +323,11 @@ def archive_digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     manifest = write_archives(pages, folder, id_col, url_col, text_col)
     if manifest.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    name = F.element_at(F.split("path", "/"), -1) == F.col("file")
-    files = listed_files(manifest, folder, local_path(folder) is None).join(F.broadcast(manifest), name).drop("file")  # a name per file of megabytes
-    if (there := files.select("path").count()) != (want := manifest.count()):
+    named = manifest.select(F.concat(F.lit(f"{folder}/"), "file").alias("path"), "records")
+    if (there := _present(named).count()) != (want := manifest.count()):
         raise ValueError(f"{there} archives found, {want} written")
-    read = read_archives(files).filter("gap is null")
-    return read.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files = named.repartition(max(1, min(want, 10_000)), "path")
+    records, gaps, place = quarantined(read_archives(files))
+    if n := gaps.count():
+        warnings.warn(f"{n} byte gaps in fresh archives, logged in {place}", stacklevel=2)
+    return records.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
