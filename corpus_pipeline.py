@@ -1,14 +1,20 @@
 """A corpus pipeline of five stages, each one of the operators of stratum.llm.
 
 A stage takes (spark, docs, sf_dir) and returns what it keeps; `run` writes each stage's result to the shared
-folder and reads it back as the next one's documents.
+folder, reads it back as the next one's documents, and removes what the stage and the one before it left there.
+
+Defined results: null and empty texts have the labels' prior as their score, are one text to exact dedup, link with no
+near-duplicate, cover no benchmark item and encode to nothing. Of equal texts the largest id stays, of a group of
+near-duplicates the smallest, a null id losing to any other; of rows equal in id and text one stays. Without
+labels of both kinds, or without benchmark items, nothing goes for that reason. An empty table stays empty. All but the last
+stage carry every column of `docs`, whatever its name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm.common import stored, table
+from stratum.llm.common import delete, scratch, scratch_path, table
 from stratum.llm.decontamination import drop_contaminated
 from stratum.llm.exact_dedup import drop_exact_duplicates
 from stratum.llm.near_dedup import drop_near_duplicates
@@ -49,7 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
