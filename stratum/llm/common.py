@@ -40,13 +40,27 @@ def hold(name: str, drop: Callable[[], None]) -> None:
 
 
 def release() -> None:
-    """Give freed memory of this worker back to the system."""
+    """Collect garbage of this worker and give freed memory back to the system."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def lean(work: Callable) -> Callable:
+    """`work` on a partition's batches, after which the worker, which Spark keeps, gives freed memory back."""
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def byte_slices(lengths: np.ndarray, rows: int, size: int):
     """(first, end) of runs of at most `rows` texts and, but for a single one, `size` bytes."""
     ends, a = np.cumsum(lengths, dtype=np.int64), 0
@@ -108,8 +122,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
-#: Bytes of a batch that goes to a Python worker; Spark's own default is eight times that.
-BATCH_BYTES = 8 << 20
+#: Bytes of a batch that goes to a Python worker; Spark's own default is sixteen times that.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hold, ship, stored, union_all
+from .common import fresh, hold, lean, ship, stored, union_all
 
 #: Words of a tile at least, and the share of an item's words that tiles must cover.
 MIN_MATCH, COVERAGE = 5, 0.5
@@ -209,7 +209,7 @@ def _seed_filter(benchmark: DataFrame, min_match: int, short_items: bool) -> np.
         yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int64()), "bits": pa.array([packed[a : a + (1 << 12)].tobytes() for a in parts], pa.binary())})
 
     out = np.zeros(size // 8, np.uint8)
-    for r in items.mapInArrow(slots, "part long, bits binary").toLocalIterator():
+    for r in items.mapInArrow(lean(slots), "part long, bits binary").toLocalIterator():
         own = np.frombuffer(r["bits"], np.uint8)
         out[r["part"] : r["part"] + len(own)] |= own
     return out
@@ -273,7 +273,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), names, strict=True)], schema=names)
 
-        frames.append(narrow.mapInArrow(search, f"`{id_col}` long, item_id long, {SCHEMA}"))
+        frames.append(narrow.mapInArrow(lean(search), f"`{id_col}` long, item_id long, {SCHEMA}"))
     return union_all(frames) if frames else spark.createDataFrame([], f"`{id_col}` long, item_id long, {SCHEMA}")
 
 

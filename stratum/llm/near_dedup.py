@@ -7,11 +7,12 @@
    is skipped, and of the others only the rarest (shared - MATCHES + 1) postings are merged: a pair that
    agrees often enough meets in one of them (prefix filter; long lists are what it skips).
 3. Short lists give pairs. Long lists, where pairs would grow with the square, give families (lists that
-   share a member): each member is compared with the family's pivot; those linked to it need no comparison
-   with one another. A member that is not linked can only link to a member x when
-   d(pivot, x) >= d(pivot, y) - (1 - similarity), by the triangle inequality of the Jaccard distance. Such
-   members meet in blocks of bounded size that keep only signatures' matches above the threshold, compare full
-   sets, and give the links that join something new within the block.
+   share a member): each member is compared with the family's pivot; those linked to it are joined and need no
+   comparison with one another. In rounds, the others meet a block of their kind and some joined members, which act as
+   further pivots, and join through them; a round's work is in proportion to the family. What no round joins can only
+   link to a joined member x when d(pivot, x) >= d(pivot, y) - (1 - similarity), by the triangle inequality of the
+   Jaccard distance. Such members meet in blocks of bounded size that keep only signatures' matches above the
+   threshold, compare full sets, and give the links that join something new within the block.
 4. Links make components; a component's id is its smallest document id.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; a text of fewer words
@@ -24,19 +25,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, fresh, ship, stored
+from .common import attach_groups, byte_slices, fresh, heavy_limit, hold, lean, settled, ship, stored, union_all
 from .components import connected_components
 from .exact_dedup import _hits, filter_bits, slot_bitmaps
-from .shingles import Signer, digest, shingle_set
+from .shingles import Signer, digest, shingle_sets
 
 #: Coordinates of a signature, and those that a pair must share at a similarity of 0.85 or more
 #: (chance of fewer: 1.2e-9); at 0.8, `matches_for` gives its own figure.
 COORDINATES, MISS = 32, 2e-8
 #: Members of a list that is merged pair by pair; members of a block.
 SHORT, BLOCK = 32, 256
+#: Rounds of further pivots in families of which more than CROWD members are linked to none yet, and the pivots of a
+#: block in a round. They change what is compared, never the links' components.
+ROUNDS, CROWD, PIVOTS = 8, 1024, 64
+#: Texts that are shingled together: rows and bytes at most.
+SLICE_ROWS, SLICE_BYTES = 2_000, 2 << 20
 
 
 def matches_for(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -56,14 +63,23 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     ship(docs.sparkSession)
     schema = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
+    slices = SLICE_ROWS, SLICE_BYTES
+
     def sign(batches):
+        hold("shingles", lambda: None)
         signer = Signer(COORDINATES)
         for batch in batches:
-            sets = (shingle_set(t.as_py(), size) for t in batch.column(4))
-            n, digests, sigs = zip(*((len(s), digest(s), signer.sign(s).astype("<u4").tobytes()) for s in sets), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+            for a, sets in _sliced(batch.column(4), size, slices):
+                head = [c[a : a + len(sets)] for c in batch.columns[:4]]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(digest, sets)), pa.binary()), pa.array([signer.sign(s).astype("<u4").tobytes() for s in sets], pa.binary())], schema=schema)
+
+    return _keyed(docs, id_col, text_col).mapInArrow(lean(sign), "rid long, id long, k1 long, k2 long, n long, digest binary, sig binary")
+
 
-    return _keyed(docs, id_col, text_col).mapInArrow(sign, "rid long, id long, k1 long, k2 long, n long, digest binary, sig binary")
+def _sliced(texts: pa.Array, size: int, slices: tuple[int, int]):
+    """(place of the first text, shingle sets) of slices of the texts, of so many rows and bytes at most."""
+    for a, b in byte_slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), *slices):
+        yield a, shingle_sets(texts[a:b], size)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,7 +97,7 @@ def _postings(reps: DataFrame, matches: int) -> DataFrame:
                 keys = sig + (np.arange(sig.shape[1], dtype=np.int64) << 32)
                 yield pa.RecordBatch.from_pydict({"key": keys.ravel(), "rid": np.repeat(batch.column(0).to_numpy(), sig.shape[1])})
 
-    every = stored(reps.select("rid", "sig").mapInArrow(spread, "key long, rid long"), "postings")
+    every = stored(reps.select("rid", "sig").mapInArrow(lean(spread), "key long, rid long"), "postings")
     shared = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "lists")
     met = attach_groups(every, shared, "key", "df", every.count())
     own = met.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys")).filter(F.size("keys") >= matches)  # COORDINATES keys at most
@@ -95,16 +111,24 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size:
     maybe, hit = _hits(_keyed(docs, id_col, text_col).drop("rid", "id"), bitmaps, "k1", 1, bits)
     texts = maybe.filter(hit).select("k1", "k2", "text").join(wanted, ["k1", "k2"])
 
+    slices = SLICE_ROWS, SLICE_BYTES
+
     def shingle(batches):
+        hold("shingles", lambda: None)
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "sig", "set"])
+            for a, sets in _sliced(batch.column(2), size, slices):
+                head = [c[a : a + len(sets)] for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "sig", "set"])
 
-    return texts.select("rid", "sig", "text").mapInArrow(shingle, "rid long, sig binary, set binary").dropDuplicates(["rid"])
+    return texts.select("rid", "sig", "text").mapInArrow(lean(shingle), "rid long, sig binary, set binary").dropDuplicates(["rid"])
 
 
-def _array(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The sets of a binary column, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+    every = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    every = every[: len(every) // 8 * 8].view(np.uint64)
+    return [every[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -121,31 +145,31 @@ def _compared(pairs: DataFrame) -> DataFrame:
     def compare(batches):
         for batch in batches:
             got = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = _array(x.as_py()), _array(y.as_py())
+            for p, q in zip(_arrays(batch.column(2)), _arrays(batch.column(3)), strict=True):
                 both = _common(p, q)
                 got.append((both, len(p) + len(q) - both))
             inter, total = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "inter", "total"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, inter long, total long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(lean(compare), "a long, b long, inter long, total long")
 
 
-def _block_links(percent: int, matches: int):
-    """Links within a block: its left rows (side 0) against one another, or against its right rows (side 1)."""
+def _block_links(percent: int, matches: int, rounds: bool):
+    """Links of a block: of its left rows (side 0) with its right rows (side 1) or, without those, with one another.
+    In rounds: with both; and the left rows that are thereby linked to the joined ones."""
 
     def find(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         side, rid = table.column("side").to_numpy(), table.column("rid").to_numpy()
-        own = np.flatnonzero(side == 0)
-        other = np.flatnonzero(side == 1)
+        own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         links: list[tuple[int, int]] = []
+        new: list[int] = []
         if len(own):
-            within = not len(other)
-            other = own if within else other
+            within = rounds or not len(other)
             width = len(table.column("sig")[0].as_py())
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, width // 4)
-            sets, dist = [_array(s) for s in table.column("set").to_pylist()], table.column("dist").to_numpy()
-            size, shell, root = np.array([len(s) for s in sets]), table.column("shell").to_numpy(zero_copy_only=False), {}
+            sets, dist = _arrays(table.column("set").chunk(0)), table.column("dist").to_numpy()
+            size, joined, root = np.array([len(s) for s in sets]), table.column("joined").to_numpy(zero_copy_only=False), {}
 
             def top(x):
                 while root.get(x, x) != x:
@@ -153,73 +177,105 @@ def _block_links(percent: int, matches: int):
                 return x
 
             for at, k in enumerate(own.tolist()):
-                rest = other[at + 1 :] if within else other
+                rest = np.concatenate([other, own[at + 1 :]]) if within else other
+                if not len(rest):
+                    continue
                 near = (sig[rest] == sig[k]).sum(1) >= matches
                 near &= 100 * np.minimum(size[rest], size[k]) >= percent * np.maximum(size[rest], size[k])
-                near &= (np.abs(dist[rest] - dist[k]) <= 1 - percent / 100 + 1e-9) if len(rest) else near
+                near &= np.abs(dist[rest] - dist[k]) <= 1 - percent / 100 + 1e-9
                 for j in rest[near].tolist():
-                    # members of the shell are linked to the pivot already: one stands for all
-                    p, q = top(rid[k]), top(-1 if shell[j] else rid[j])
+                    # joined members are linked to the pivot already: one stands for all
+                    p, q = top(rid[k]), top(-1 if joined[j] else rid[j])
                     if p != q:
                         both = _common(sets[k], sets[j])
                         if 100 * both >= percent * (size[k] + size[j] - both):
                             root[max(p, q)] = min(p, q)
                             links.append((int(rid[k]), int(rid[j])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+            new = [int(rid[k]) for k in own.tolist() if rounds and top(rid[k]) == -1]
+        a, b = [x for x, _ in links] + new, [y for _, y in links] + [None] * len(new)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return find
 
 
+def _pivot_distances(members: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """f, rid, pivot, dist, joined: the distance of each member from its family's central one. The pivots' sets go to
+    the members by (family, salt), a salt for each `heavy_limit` members."""
+    pivots = members.groupBy("f").agg(F.max_by("rid", F.struct("weight", -F.col("rid"))).alias("pivot"), F.count(F.lit(1)).alias("size"))
+    pivots = stored(pivots.withColumn("salts", F.ceil(F.col("size") / heavy_limit(total)).cast("int")), "pivots")
+    salted = attach_groups(members.select("f", F.col("rid").alias("a"), F.col("set").alias("sa")), pivots, "f", "size", total).withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int"))
+    dealt = pivots.select("f", "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.select(F.col("rid").alias("pivot"), F.col("set").alias("sb")), "pivot")
+    met = _compared(salted.drop("pivot").join(dealt, ["f", "salt"]).withColumnRenamed("pivot", "b"))
+    near = met.select(F.col("a").alias("rid"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("total")).alias("dist"), (100 * F.col("inter") >= percent * F.col("total")).alias("joined"))
+    return members.select("f", "rid").join(near, "rid")
+
+
+def _state(state: DataFrame) -> DataFrame:
+    """Of each family with members that are not joined: how many are and are not, and the least distance of those."""
+    counts = state.groupBy("f").agg(F.count_if("joined").alias("n_joined"), F.count_if(~F.col("joined")).alias("n_rest"), F.min(F.when(~F.col("joined"), F.col("dist"))).alias("least"))
+    return counts.filter("n_rest > 0").withColumn("size", F.col("n_joined") + F.col("n_rest")).withColumn("blocks", F.ceil(F.col("n_rest") / BLOCK).cast("int"))
+
+
 def _family_links(long_lists: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
     """Links among the members of long lists (key, rid, df)."""
+    slack, cols = 1 - percent / 100 + 1e-9, ["f", "i", "j", "side", "rid", "sig", "set", "dist", "joined"]
     heads = long_lists.groupBy("key").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("size"))
     edges = attach_groups(long_lists, stored(heads, "heads"), "key", "size", long_lists.count()).select("rid", "head").distinct()
     family = connected_components(edges, "rid", "head").withColumnRenamed("node", "rid").withColumnRenamed("component", "f")
     weight = long_lists.groupBy("rid").agg(F.sum("df").alias("weight"))
     members = stored(family.join(weight, "rid").join(sets, "rid"), "members")  # the central member tends to have the longest lists
     total = members.count()
-    pivots = members.groupBy("f").agg(F.max_by("rid", F.struct("weight", -F.col("rid"))).alias("pivot"), F.count(F.lit(1)).alias("size"))
-    pivot_sets = pivots.join(sets.select(F.col("rid").alias("pivot"), F.col("set").alias("sb")), "pivot")
-    to_pivot = attach_groups(members.select("f", F.col("rid").alias("a"), F.col("set").alias("sa")), stored(pivot_sets, "pivots"), "f", "size", total)
-    near = _compared(to_pivot.withColumnRenamed("pivot", "b")).withColumn("dist", 1 - F.col("inter") / F.col("total"))
-    near = stored(near.withColumn("shell", 100 * F.col("inter") >= percent * F.col("total")), "distances")
-    star = near.filter("shell").select("a", "b")
-
-    placed = members.select("f", "rid", "sig", "set").join(near.select(F.col("a").alias("rid"), "dist", "shell"), "rid")
-    outer = near.join(members.select("f", F.col("rid").alias("a")), "a").filter("not shell").groupBy("f").agg(F.min("dist").alias("from"), F.count(F.lit(1)).alias("n"))
-    outer = outer.select("f", (F.col("from") - (1 - percent / 100) - 1e-9).alias("from"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n")
-    rows = attach_groups(placed, stored(outer, "outer"), "f", "n", total).filter("not shell or dist >= `from`")
-    block = F.pmod(F.xxhash64("rid"), "blocks").cast("int")
-    alone = rows.filter("not shell").withColumn("block", block)
-    # Blocks (i, i): left rows alone; (i, j), i < j: left i, right j; (i, -1-s): left i, right slice s of the shell.
-    slices = rows.filter("shell").groupBy("f").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slices"))
-    cols = ["f", "i", "j", "side", "rid", "sig", "set", "dist", "shell"]
+    near = stored(_pivot_distances(members, sets, percent, total), "distances")
+    links = [near.filter("joined").select(F.col("rid").alias("a"), F.col("pivot").alias("b"))]
+    state, held = near.select("f", "rid", "dist", "joined"), members.select("rid", "sig", "set")
+
+    # Rounds: members that are not joined yet meet those of their block, and some that are.
+    for nth in range(ROUNDS):
+        crowded = stored(_state(state).filter(F.col("n_rest") > CROWD), "crowded")
+        before = crowded.agg(F.sum("n_rest")).first()[0]
+        if not before:
+            break
+        rows = attach_groups(state, crowded, "f", "size", total)
+        left = rows.filter("not joined").select("f", F.pmod(F.xxhash64("rid", F.lit(nth)), "blocks").cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "rid", "dist", "joined").join(held, "rid").select(cols)
+        some = rows.filter(F.col("joined") & (F.col("dist") >= F.col("least") - slack) & (F.pmod(F.xxhash64("rid", F.lit(-1 - nth)), "n_joined") < PIVOTS))
+        right = some.select("f", "blocks", F.lit(0).alias("j"), F.lit(1).alias("side"), "rid", "dist", "joined").join(held, "rid").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(cols)
+        found = stored(left.unionByName(right).groupBy("f", "i").applyInArrow(_block_links(percent, matches, True), "a long, b long"), "found")
+        links.append(found.filter("b is not null"))
+        new = found.filter("b is null").select(F.col("a").alias("rid"), F.lit(True).alias("new"))
+        state = stored(state.join(new, "rid", "left").select("f", "rid", "dist", (F.col("joined") | F.col("new").isNotNull()).alias("joined")), "state")
+        if 5 * new.count() < before:
+            break
+
+    # What is left meets, in blocks, all that it can link with.
+    rest = stored(_state(state), "rest")
+    rows = attach_groups(state, rest, "f", "size", total).filter(~F.col("joined") | (F.col("dist") >= F.col("least") - slack))
+    rows = stored(rows.select("f", "rid", "dist", "joined", "blocks"), "outer").join(held, "rid")
+    alone = rows.filter("not joined").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    # Blocks (i, i): left rows alone; (i, j), i < j: left i, right j; (i, -1-s): left i, right slice s of the joined.
+    slices = rows.filter("joined").groupBy("f").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slices"), F.count(F.lit(1)).alias("n"))
     later = F.explode(F.sequence("block", F.col("blocks") - 1))
     left = alone.select("*", F.col("block").alias("i"), later.alias("j"), F.lit(0).alias("side")).select(cols)
     right = alone.filter("block > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")).select(cols)
     few = stored(slices, "slices")
-    shell_left = alone.join(F.broadcast(few) if few.count() <= 50_000 else few, "f").select("*", F.col("block").alias("i"), F.explode(F.sequence(F.lit(1), "slices")).alias("s"), F.lit(0).alias("side")).withColumn("j", -F.col("s")).select(cols)
-    shell = rows.filter("shell").join(F.broadcast(few) if few.count() <= 50_000 else few, "f")
-    shell = shell.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), (-1 - F.pmod(F.xxhash64("rid"), "slices").cast("int")).alias("j"), F.lit(1).alias("side")).select(cols)
-    dealt = left.unionByName(right).unionByName(shell_left).unionByName(shell)
-    found = dealt.groupBy("f", "i", "j").applyInArrow(_block_links(percent, matches), "a long, b long")
-    return star.unionByName(found)
+    rows_of = rest.select("f", "size").join(few, "f").select("f", "slices", "size")
+    sliced_left = attach_groups(alone, rows_of, "f", "size", total).select("*", F.col("block").alias("i"), F.explode(F.sequence(F.lit(1), "slices")).alias("s"), F.lit(0).alias("side")).withColumn("j", -F.col("s")).select(cols)
+    sliced = attach_groups(rows.filter("joined"), rows_of, "f", "size", total)
+    sliced = sliced.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), (-1 - F.pmod(F.xxhash64("rid"), "slices").cast("int")).alias("j"), F.lit(1).alias("side")).select(cols)
+    dealt = left.unionByName(right).unionByName(sliced_left).unionByName(sliced)
+    links.append(dealt.groupBy("f", "i", "j").applyInArrow(_block_links(percent, matches, False), "a long, b long"))
+    return union_all(links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id, kept. Texts link when
     100 * intersection >= percent * union of their sets of `size`-word shingles."""
-    marks = _marks(docs, id_col, text_col, size, percent)
+    marks = settled(docs.sparkSession, "marks", lambda: _marks(docs, id_col, text_col, size, percent))
     return marks.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
-def _marks(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(a, b): links between representatives, enough for their components."""
     matches = matches_for(percent)
-    signed = stored(_signatures(docs, id_col, text_col, size), "signatures")
-    total = signed.count()
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
-    filled = signed.filter("n > 0")
-    classes = stored(filled.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "k1", "k2", "n", "sig")).alias("r"), F.count(F.lit(1)).alias("size")).select("digest", "size", F.col("r.o").alias("o"), F.col("r.o.rid").alias("rid"), "r.k1", "r.k2", "r.sig"), "classes")
     postings = stored(_postings(classes, matches), "prefixes")
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     merged = stored(attach_groups(postings, stored(lists, "lists"), "key", "size", postings.count()), "merged")
@@ -227,11 +283,21 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     sets = stored(_sets(docs, stored(wanted, "wanted"), id_col, text_col, size), "sets")
     short = merged.filter(F.col("size") <= SHORT).select("key", "rid")
     pairs = short.select("key", F.col("rid").alias("a")).join(short.select("key", F.col("rid").alias("b")), "key").filter("a < b").select("a", "b").distinct()
-    held = stored(pairs, "pairs").join(sets.select(F.col("rid").alias("a"), F.col("set").alias("sa"), F.col("sig").alias("ga")), "a")
+    held = stored(pairs, "pairs").join(sets.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a")
     held = held.join(sets.select(F.col("rid").alias("b"), F.col("set").alias("sb")), "b")
     links = _compared(held).filter(100 * F.col("inter") >= percent * F.col("total")).select("a", "b")
     long_lists = merged.filter(F.col("size") > SHORT)
-    links = stored(links.unionByName(_family_links(long_lists.select("key", "rid", "df"), sets, percent, matches)) if not long_lists.isEmpty() else links, "links")
+    return links if long_lists.isEmpty() else links.unionByName(_family_links(long_lists.select("key", "rid", "df"), sets, percent, matches))
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    spark = docs.sparkSession
+    signed = stored(_signatures(docs, id_col, text_col, size), "signatures")
+    total = signed.count()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    filled = signed.filter("n > 0")
+    classes = stored(filled.groupBy("digest").agg(F.min(F.struct(order.alias("o"), "k1", "k2", "n", "sig")).alias("r"), F.count(F.lit(1)).alias("size")).select("digest", "size", F.col("r.o").alias("o"), F.col("r.o.rid").alias("rid"), "r.k1", "r.k2", "r.sig"), "classes")
+    links = settled(spark, "links", lambda: _links(docs, classes, id_col, text_col, size, percent))
     nodes = connected_components(links, "a", "b")
     joined = classes.select("digest", "size", "o", "rid").join(nodes, F.col("rid") == F.col("node"), "left").select("digest", "size", "o", F.coalesce("component", "rid").alias("component"))
     joined = stored(joined, "nodes")
@@ -248,7 +314,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """`docs` with one row of each component, that with the smallest id; all its columns. Rows that a filter
     over the dropped ones rules out pass straight through; only the others shuffle."""
     k1, k2 = fresh(docs, "k1", "k2")
-    marks = stored(_marks(docs, id_col, text_col, size, percent), "marks")
+    marks = settled(docs.sparkSession, "marks", lambda: _marks(docs, id_col, text_col, size, percent))
     # A row equal to a kept one in id and text has its keys too: of such rows one stays.
     gone = stored(marks.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.max(F.when(F.col("kept"), 1).otherwise(0)).alias("n_kept"), F.count(F.lit(1)).alias("n_rows")).filter("n_kept < n_rows and (n_kept = 0 or n_rows > 1)"), "gone")
     bits = filter_bits(gone.count())

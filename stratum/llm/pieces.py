@@ -32,13 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, hold, ship
+from .common import byte_slices, hold, lean, ship
 
 #: Segmentations of a text, price of a byte over the rarest piece, chunks a worker remembers.
-N_BEST, BYTE_PRICE, CACHE_CHUNKS = 3, 3.0, 120_000
+N_BEST, BYTE_PRICE, CACHE_CHUNKS = 3, 3.0, 60_000
 #: Characters of a chunk that is searched together with others, cells of such a search, and the texts of one step:
 #: rows and bytes at most.
-LONGEST, CELLS, SLICE_ROWS, SLICE_BYTES = 40, 1 << 21, 2_000, 2 << 20
+LONGEST, CELLS, SLICE_ROWS, SLICE_BYTES = 40, 1 << 19, 1_000, 1 << 20
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: Texts whose chunks are not just their words and newlines.
 _ODD = r"\A[ \n]|  | \n| \z|\x00"
@@ -330,8 +330,8 @@ class Lattice:
             score, ids = float(total[t]), bytes(data[a:b])
             options: list = [(0.0, ())]  # loss, what replaces which chunk
             for k in near[t]:
-                own = self.chunk_n_best(names[place[k]], n)
-                grown = [(so_far + own[0][0] - s, (*change, (k, other)) if rank else change) for so_far, change in options for rank, (s, other) in enumerate(own)]
+                own, same = self.chunk_n_best(names[place[k]], n), got[place[k]][0]  # of equal scores the best may come later here
+                grown = [(so_far + own[0][0] - s, change if other == same else (*change, (k, other))) for so_far, change in options for s, other in own]
                 options = heapq.nsmallest(n, grown, key=lambda x: x[0])
             found = []
             for lost, change in options:
@@ -383,12 +383,14 @@ def encode_texts(docs: DataFrame, model_path: str, n_best: int = N_BEST, id_col:
     ship(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("n_best_ids", pa.list_(pa.binary())), ("scores", pa.list_(pa.float64())), ("crc32s", pa.list_(pa.int64())), ("round_trip", pa.bool_())])
 
+    slices = SLICE_ROWS, SLICE_BYTES
+
     def encode(batches):
         hold("pieces", lattice.cache_clear)
         model = lattice(model_path)
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            for a, b in byte_slices(pc.binary_length(texts).to_numpy(), SLICE_ROWS, SLICE_BYTES):
+            for a, b in byte_slices(pc.binary_length(texts).to_numpy(), *slices):
                 rows = []
                 for i, (best, good) in zip(batch.column(0)[a:b].to_pylist(), model.encode_many(texts[a:b], n_best), strict=True):
                     score, ids = best[0]
@@ -397,7 +399,7 @@ def encode_texts(docs: DataFrame, model_path: str, n_best: int = N_BEST, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(encode, "id long, n_pieces long, ids binary, ids_crc32 long, score double, n_best_ids array<binary>, scores array<double>, crc32s array<long>, round_trip boolean").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(lean(encode), "id long, n_pieces long, ids binary, ids_crc32 long, score double, n_best_ids array<binary>, scores array<double>, crc32s array<long>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

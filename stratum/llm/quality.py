@@ -17,13 +17,15 @@ contradict one another, or are null, is not learned from; without labelled rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ship
+from .common import fresh, hold, release, ship
 
 #: Bounds of the training sample, the dictionaries' size, and the pieces that texts are compressed in.
 TRAIN_ROWS, TRAIN_CHARS, DICT_BYTES, PIECE, LEVEL = 2500, 20_000, 1 << 20, 2048, 12
@@ -51,6 +53,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_compressors": None}
 
+    def rest(self) -> None:
+        """Drop what can be made again."""
+        self._compressors = None
+
     def difference(self, text: str) -> tuple[float, float]:
         """(size with the bad dictionary - size with the good one) / size of the text, over 0 for good text;
         and the weight of that evidence."""
@@ -127,9 +133,13 @@ def _scored(docs: DataFrame, model: Model, text_col: str, score: str) -> DataFra
     from pyspark.sql.pandas.functions import arrow_udf
 
     @arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hold("quality", lambda: None)
         model = shared.value
-        return pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
+        for texts in batches:
+            yield pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
+        model.rest()
+        release()
 
     return docs.withColumn(score, scored(F.col(text_col)))
 

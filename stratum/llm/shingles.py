@@ -10,11 +10,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_WORDS = 400_000  # that a worker remembers the hashes of
-_known: dict[bytes, int] = {}
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -22,13 +22,17 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
 
-def _hashed(parts: list[bytes]) -> np.ndarray:
-    if len(_known) > _WORDS:
-        _known.clear()
-    for w in set(parts):
-        if w not in _known:
-            _known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array(list(map(_known.__getitem__, parts)), np.uint64)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, where each text's words begin and end). Arrow splits the texts and numbers
+    their words, so that only distinct words are hashed and nothing is remembered."""
+    lowered = pc.ascii_lower(pc.fill_null(texts, ""))  # before the cast: of a slice that was cast Arrow lowers other bytes
+    split = pc.ascii_split_whitespace(lowered.cast(pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    distinct, at = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    word = np.fromiter(map(bool, distinct), bool, len(distinct))[at]
+    ends = np.concatenate([[0], np.cumsum(word)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return own[at[word]], ends
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -37,16 +41,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles."""
+    h, ends = word_hashes(texts)
+    runs = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    for j in range(size):
+        runs = _mixed(runs * _STEP + h[j : j + len(runs)])
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if b - a >= size:
+            out.append(np.unique(runs[a : b - size + 1]))
+        else:
+            whole = np.full(min(1, b - a), b - a, np.uint64)
+            for j in range(a, b):
+                whole = _mixed(whole * _STEP + h[j])
+            out.append(whole)
+    return out
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    h = _hashed(words(text))
-    if not len(h):
-        return h
-    runs = max(1, len(h) - size + 1)
-    out = np.full(runs, min(size, len(h)), np.uint64)
-    for j in range(min(size, len(h))):
-        out = _mixed(out * _STEP + h[j : j + runs])
-    return np.unique(out)
+    return shingle_sets(pa.array([text], pa.large_string()), size)[0]
 
 
 def digest(shingles: np.ndarray) -> bytes:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, hold, scratch_path, ship, stored
+from .common import byte_slices, hold, lean, scratch_path, ship, stored
 from .files import attempt_name, new_file, read_file
 
 MAGIC = b"S8BIDS01"
@@ -337,7 +337,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ranged = narrow.repartitionByRange(parts, "id").sortWithinPartitions("id")
-    return stored(ranged.mapInArrow(write, "place long, nth long, file string, docs long, ids long"), "manifest")
+    return stored(ranged.mapInArrow(lean(write), "place long, nth long, file string, docs long, ids long"), "manifest")
 
 
 def _starts(manifest: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
                     before += len(ids)
 
     files = manifest.count()  # a task for each, but for very many
-    return _starts(manifest).repartition(max(1, min(files, 10_000)), "file").mapInArrow(read, schema)
+    return _starts(manifest).repartition(max(1, min(files, 10_000)), "file").mapInArrow(lean(read), schema)
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
