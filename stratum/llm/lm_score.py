@@ -20,19 +20,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
-from .shingles import _STEP, _hashed, _mixed, words
+from .common import byte_slices, hold, lean, ship, stored
+from .shingles import _STEP, _mixed, word_hashes
 
 #: Tokens of a slab (more only for a longer text) and, about, n-grams that a part receives.
 SLAB, PART = 1 << 20, 1 << 20
 BITS_EACH, PROBES, BLOCK_BITS, MU = 14, 6, 1 << 15, 40.0
-#: Bounds of an earlier form that the tests still set. Nothing reads them.
-HEAD = VOCABULARY = None
+#: Texts that are split together: rows and bytes at most.
+SLICE_ROWS, SLICE_BYTES = 2_000, 2 << 20
 _END, _START, _DEAL = np.uint64(0x5EED0E0D), np.uint64(0x57A27), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -40,9 +41,10 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(c.cast("string"), "UTF-8")), F.lit(7)) == 2, F.lit(False))
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words and of the end token."""
-    return np.append(_hashed(words(text)), _END)
+def token_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text the hashes of its words and of the end token."""
+    hashes, ends = word_hashes(texts)
+    return [np.append(hashes[a:b], _END) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -163,8 +165,10 @@ _SLAB = "slab long, ids array<long>, n_tokens long, train_tokens long, lengths b
 
 def read_slabs(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     """The documents as stored slabs."""
+    slices = SLICE_ROWS, SLICE_BYTES
 
     def cut(batches):
+        hold("slabs", lambda: None)
         nth, ids, held, got, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def slab():
@@ -180,19 +184,20 @@ def read_slabs(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFr
             )
 
         for batch in batches:
-            for i, out, text in zip(*batch.columns, strict=True):
-                ids.append(i.as_py())
-                held.append(out.as_py())
-                got.append(token_hashes(text.as_py()))
-                size += len(got[-1])
-                if size >= most:
-                    yield slab()
-                    nth, ids, held, got, size = nth + 1, [], [], [], 0
+            for a, b in byte_slices(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(), *slices):
+                for i, out, tokens in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), token_hashes(batch.column(2)[a:b]), strict=True):
+                    ids.append(i)
+                    held.append(out)
+                    got.append(tokens)
+                    size += len(tokens)
+                    if size >= most:
+                        yield slab()
+                        nth, ids, held, got, size = nth + 1, [], [], [], 0
         if ids:
             yield slab()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
-    return stored(narrow.mapInArrow(cut, _SLAB), "slabs")
+    return stored(narrow.mapInArrow(lean(cut), _SLAB), "slabs")
 
 
 def _opened(batch: pa.RecordBatch, k: int) -> Slab:
@@ -257,8 +262,8 @@ def _answers(slabs: DataFrame, parts: int) -> DataFrame:
         if rows:
             yield from answered(part, rows)
 
-    asked = slabs.mapInArrow(ask, "slab long, part long, words long, grams binary, n binary")
-    return stored(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(answer, _ANSWER), "answers")
+    asked = slabs.mapInArrow(lean(ask), "slab long, part long, words long, grams binary, n binary")
+    return stored(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(answer), _ANSWER), "answers")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,5 +298,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # A slab comes before its answers, and these in order of part.
     both = slabs.withColumn("part", F.lit(-1).cast("long")).unionByName(answers.drop("new_words"), allowMissingColumns=True)
-    out = both.repartition("slab").sortWithinPartitions("slab", "part").mapInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = both.repartition("slab").sortWithinPartitions("slab", "part").mapInArrow(lean(score), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
