@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_groups, local_path, scratch_path, ship, stored
+from .common import attach_groups, lean, local_path, scratch_path, ship, stored
 from .exact_dedup import RepeatFilter
 from .files import attempt_name, exists, read_file, write_file
 
@@ -223,7 +223,7 @@ def read_archives(files: DataFrame, with_payload: bool = False) -> DataFrame:
                 if has_records and count != (want := batch.column("records")[k].as_py()):
                     raise ValueError(f"{path}: {count} records read, {want} written")
 
-    return files.mapInArrow(read, schema)
+    return files.mapInArrow(lean(read), schema)
 
 
 def read_folder(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
@@ -291,7 +291,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             flush()
         yield pa.RecordBatch.from_pydict({"file": pa.array([n for n, _ in out], pa.string()), "records": pa.array([c for _, c in out], pa.int64())})
 
-    return stored(every.select("id", "url", "payload", "digest", "refers_to", "revisit", "size").mapInArrow(write, "file string, records long"), "manifest")
+    return stored(every.select("id", "url", "payload", "digest", "refers_to", "revisit", "size").mapInArrow(lean(write), "file string, records long"), "manifest")
 
 
 def quarantined(read: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, str]:
@@ -312,7 +312,7 @@ def _present(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([exists(p) for p in batch.column(0).to_pylist()], pa.bool_()))
 
-    return files.mapInArrow(look, files.schema)
+    return files.mapInArrow(lean(look), files.schema)
 
 
 def archive_digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
