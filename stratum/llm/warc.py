@@ -326,8 +326,12 @@ def archive_digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     named = manifest.select(F.concat(F.lit(f"{folder}/"), "file").alias("path"), "records")
     if (there := _present(named).count()) != (want := manifest.count()):
         raise ValueError(f"{there} archives found, {want} written")
-    files = named.repartition(max(1, min(want, 10_000)), "path")
-    records, gaps, place = quarantined(read_archives(files))
+    files = named.select("path").repartition(max(1, min(want, 10_000)), "path")
+    records, gaps, place = quarantined(read_archives(files), f"{folder}-records")
     if n := gaps.count():
         warnings.warn(f"{n} byte gaps in fresh archives, logged in {place}", stacklevel=2)
+    counts = records.groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("read"))
+    wrong = named.join(counts, "path", "left").filter(F.coalesce("read", F.lit(0)) != F.col("records")).first()
+    if wrong:
+        raise ValueError(f"{wrong['path']}: {wrong['read'] or 0} records read, {wrong['records']} written; gaps are logged in {place}")
     return records.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
