@@ -472,6 +472,19 @@ def test_host_memory_and_process_peaks(spark):
     assert tuple(E.host_usage(still, "h", "t", "b", "n").first()) == ("h", 25.0, 25.0, 25.0, 1)  # no time went on in one pair
 
 
+def test_counters_of_a_stream(spark, tmp_path):
+    from stratum.streaming.replay import read_events, windowed_counters
+
+    (tmp_path / "in").mkdir()
+    rows = [{"trace": "t", "seq": k, "timeMs": k, "type": "buffer.hit" if k % 3 else "buffer.miss", "at": f"2026-01-01T00:0{k // 6}:00Z"} for k in range(12)]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    counters = windowed_counters(read_events(spark, str(tmp_path / "in")))
+    query = counters.writeStream.format("memory").queryName("counters_of_a_stream").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r["window"]["start"].minute, r["type"]): r["events"] for r in spark.table("counters_of_a_stream").collect()}
+    assert got == {(m, t): n for m in (0, 1) for t, n in (("buffer.miss", 2), ("buffer.hit", 4))}
+
+
 def test_entry_without_optional_parts():
     import __spark_entry__ as entry
 
