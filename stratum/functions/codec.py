@@ -43,8 +43,20 @@ def from_fixed(c: Column) -> Column:
 
 
 def sort_key(c: Column, width: int) -> Column:
-    """Apply after the width check: longer values would be cut."""
-    return F.translate(F.decode(F.rpad(F.encode(c, "UTF-8"), width, F.lit(b"\x00")), "ISO-8859-1"), _BYTES, _FLIPPED)
+    """Apply after the width check: longer values would be cut. Only the value is translated, its padding is added
+    as it would come out."""
+    own = F.decode(F.substring(F.encode(c, "UTF-8"), 1, width), "ISO-8859-1")
+    return F.rpad(F.translate(own, _BYTES, _FLIPPED), width, _FLIPPED[0] * max(1, width))
+
+
+def plain(c: Column, width: int) -> Column:
+    """ASCII without NULs that fits: among such values the signed order is that of the strings."""
+    return (byte_length(c) == F.length(c)) & ~F.contains(c, F.lit("\0")) & (F.length(c) <= width)
+
+
+def is_plain(value: str, width: int) -> bool:
+    """The same of a value at hand."""
+    return isinstance(value, str) and value.isascii() and "\0" not in value and len(value) <= width
 
 
 def nanos_to_millis(c: Column) -> Column:

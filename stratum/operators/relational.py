@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import sort_key
+from ..functions.codec import is_plain, plain, sort_key
 from ..sources.scratch import scratch, stored
 
 #: Name of the stored sort key of an indexed field.
@@ -30,14 +30,21 @@ def select(df: DataFrame, predicate: Column | Callable) -> DataFrame:
 
 def select_range(df: DataFrame, field: str, start: str, end: str, width: int, order: str = "signed") -> DataFrame:
     """start <= field <= end. order: "signed" (the order of padded bytes as signed numbers, by the stored key if
-    there is one) or "binary" (plain string order, the same for ASCII)."""
+    there is one) or "binary" (plain string order, the same for ASCII). Without a stored key, only values that string
+    order may misplace get one."""
     if order == "binary":
         return df.filter(F.col(field).between(start, end))
     if order != "signed":
         raise ValueError(f"unknown order: {order}")
     key = KEY.format(field)
-    own = F.col(key) if key in df.columns else sort_key(F.col(field), width)
-    return df.filter(own.between(sort_key(F.lit(start), width), sort_key(F.lit(end), width)))
+    ends = sort_key(F.lit(start), width), sort_key(F.lit(end), width)
+    if key in df.columns:
+        return df.filter(F.col(key).between(*ends))
+    own = F.col(field).cast("string")
+    hit = sort_key(own, width).between(*ends)
+    if is_plain(start, width) and is_plain(end, width):
+        hit = F.when(plain(own, width), own.between(start, end)).otherwise(hit)
+    return df.filter(hit)
 
 
 def select_equal(df: DataFrame, field: str, value: str) -> DataFrame:
@@ -105,7 +112,9 @@ def preview(df: DataFrame, text: str, order_by: Sequence[str], first: int = 250,
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: how many rows of each side the other lacks, repeats counted."""
-    left = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left"))
-    right = b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_right"))
-    return left.crossJoin(right)  # one row each
+    """One row: how many rows of each side the other lacks, repeats counted. Each side is computed once."""
+    sides = [df.toDF(*[f"c{k}" for k in range(len(df.columns))]).withColumn("n", F.lit(n)) for df, n in ((a, 1), (b, -1))]
+    both = sides[0].union(sides[1])
+    more = both.groupBy(*both.columns[:-1]).agg(F.sum("n").alias("n"))
+    total = lambda n: F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0))
+    return more.agg(total(F.col("n")).alias("only_left"), total(-F.col("n")).alias("only_right"))

@@ -2,6 +2,7 @@ import gzip
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,54 @@ def test_query_and_index_agree(spark, tables, tmp_path):
         R.open_index(spark, str(tmp_path / "ix"), "movieId")
 
 
+def key_of_padded(c, width):
+    return F.translate(F.decode(F.rpad(F.encode(c, "UTF-8"), width, F.lit(b"\x00")), "ISO-8859-1"), "".join(map(chr, range(256))), "".join(chr(0x100 + (b ^ 0x80)) for b in range(256)))
+
+
+def seconds(df):
+    began = time.perf_counter()
+    rows = df.collect()
+    return time.perf_counter() - began, rows
+
+
+def test_keys_and_ranges_of_odd_values(spark):
+    pool = ["", "a", "ab", "abc", "aé", "é", "z", "a\0b", "a\0", "\0", "a\0é", "ab\0", "日本", "~", "abcdefghijkl", "abcdefghijklm", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(pool)], "k long, x string")
+    assert df.filter(~F.equal_null(sort_key(F.col("x"), 12), key_of_padded(F.col("x"), 12))).count() == 0
+    fitting = [(k, x) for k, x in enumerate(pool) if x is not None and len(x.encode()) <= 12]
+    for start in ("", "a", "ab", "a\0b", "é", "abcdefghijkl"):
+        for end in ("a", "ab", "z", "é", "a\0é", "~"):
+            got = {r["k"] for r in R.select_range(df.filter("k != 15"), "x", start, end, 12).collect()}
+            assert got == {k for k, x in fitting if padded(start, 12) <= padded(x, 12) <= padded(end, 12)}, (start, end)
+    digits = spark.createDataFrame([(9,), (10,), (60,), (100,)], "x long")
+    assert [r[0] for r in R.select_range(digits, "x", "10", "60", 12).collect()] == [10, 60, 100]
+
+
+def test_padding_costs_no_translation(spark):
+    df = spark.range(0, 4000, 1, 1).select(F.concat(F.lit("title "), F.col("id").cast("string")).alias("x"))
+    lengths = lambda key: df.select(F.length(key(F.col("x"), 20000)).alias("n")).agg(F.sum("n"))
+    before, rows = seconds(lengths(key_of_padded))
+    after, same = seconds(lengths(sort_key))
+    scan, hits = seconds(R.select_range(df, "x", "title 1", "title 2", 20000))
+    assert same == rows and len(hits) == 1112
+    assert after < before / 3 and scan < before / 3
+
+
+def test_multiset_difference_reads_each_side_once(spark, tmp_path):
+    rows = [("a", 1.0), ("a", 1.0), ("a", 1.0), (None, 2.0), (None, 2.0), ("b", float("nan")), ("c", 0.0), ("d", None)]
+    spark.createDataFrame(rows, "x string, y double").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([("a", 1.0), (None, 2.0), (None, 2.0), (None, 2.0), ("b", float("nan")), ("c", -0.0), ("e", None)], "other string, y double").write.parquet(str(tmp_path / "b"))
+    a, b = (spark.read.parquet(str(tmp_path / n)) for n in "ab")
+    diff = R.multiset_difference(a, b)
+    assert tuple(diff.first()) == (a.exceptAll(b).count(), b.exceptAll(a).count()) == (3, 2)
+    assert diff._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert [(f.name, f.dataType.simpleString(), f.nullable) for f in diff.schema] == [("only_left", "bigint", False), ("only_right", "bigint", False)]
+    assert tuple(R.multiset_difference(a.limit(0), b).first()) == (0, 7) and tuple(R.multiset_difference(a.limit(0), b.limit(0)).first()) == (0, 0)
+    assert tuple(R.multiset_difference(a.select("x", "x"), b.select("other", "other")).first()) == (3, 2)
+    with pytest.raises(Exception, match="same number of columns"):
+        R.multiset_difference(a, b.select("y"))
+
+
 def test_catalog(spark, tables, tmp_path):
     c = Catalog(str(tmp_path))
     c.add_table(MOVIES)
